@@ -9,15 +9,28 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-#: Pieces that a process keeps, and the longest that it keeps, in characters.
-CACHE_PIECES, CACHE_CHARS = 1_000_000, 40
+#: Pieces that a process keeps (some 200 bytes each), and the longest that it keeps, in characters.
+CACHE_PIECES, CACHE_CHARS = 1_300_000, 40
+#: Stands between words that are looked up together, so many at once.
+MARK, JOINED = "\x01", 200
 _RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_LOADED: dict[tuple, WordTokens] = {}
+_LOADED: dict[tuple[str, int], "WordTokens"] = {}
+
+
+class Pieces(dict):
+    """Ids by piece; notes what it lacks."""
+
+    def __init__(self) -> None:
+        self.missed: list[str] = []
+
+    def __missing__(self, key: str) -> None:
+        self.missed.append(key)
 
 
 class WordTokens:
-    """Ids of whole texts as little-endian bytes of ``width`` each (2 where the vocabulary allows)."""
+    """Ids of whole texts as bytes (little-endian, as on all machines that Spark runs Python on) of ``width`` each (2 where the vocabulary allows)."""
 
     def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -25,12 +38,13 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.drops_space = not self.library.encode(" ", add_special_tokens=False).ids
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.width, self.code = (2, "H") if self.library.get_vocab_size() <= 1 << 16 else (4, "I")
         self.end = self.packed([end_id])
-        self.cache: dict[str, bytes] = {}
+        self.cache = Pieces()
+        self.mark = self.library.encode(MARK, add_special_tokens=False).ids[-1]
 
     def packed(self, ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(self.width, "little") for i in ids)
+        return array(self.code, ids).tobytes()
 
     def pieces(self, text: str) -> list[str] | None:
         """Keys whose ids, joined, are those of the text; None if that is not certain."""
@@ -49,31 +63,54 @@ class WordTokens:
             return key
         return key[1:] if key[0] == "\0" else " " + key
 
+    def _look_up(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces from the library; where white space only parts words, many in a call, with a mark between."""
+        if not self.drops_space:
+            ids = self.library.encode_batch_fast([self.source(k) for k in new], add_special_tokens=False)
+            return {k: array(self.code, e.ids).tobytes() for k, e in zip(new, ids)}
+        found = {k: self.packed(self.library.encode(k, add_special_tokens=False).ids) for k in new if MARK in k}
+        plain = [k for k in new if MARK not in k]
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for keys, e in zip(groups, self.library.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False)):
+            found.update(zip(keys, self._parted(array(self.code, e.ids))))
+        return found
+
+    def _parted(self, ids: array) -> list[bytes]:
+        data, w, at, out = ids.tobytes(), self.width, 0, []
+        for i in [i for i, x in enumerate(ids) if x == self.mark]:
+            out.append(data[at * w : i * w])
+            at = i + 1
+        out.append(data[at * w :])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, with the end id."""
-        found = [self.pieces(t) for t in texts]
-        get = self.cache.get
-        unknown: set[str] = set()
-        parts = []
+        cache, missed = self.cache, self.cache.missed
+        get = cache.__getitem__
+        found, parts, counts = [self.pieces(t) for t in texts], [], []
         for keys in found:
-            got = list(map(get, keys)) if keys is not None else []
-            if None in got:
-                unknown.update(k for k, g in zip(keys, got) if g is None)
-            parts.append(got)
-        new: dict[str, bytes] = {}
-        if unknown:
-            order = list(unknown)
-            for key, e in zip(order, self.library.encode_batch([self.source(k) for k in order], add_special_tokens=False)):
-                new[key] = self.packed(e.ids)
-        out = []
-        for text, keys, got in zip(texts, found, parts):
-            if keys is None:
+            before = len(missed)
+            parts.append(list(map(get, keys)) if keys is not None else None)
+            counts.append(len(missed) - before)
+        new = self._look_up(list(dict.fromkeys(missed))) if missed else {}
+        out, at = [], 0
+        for text, part, n in zip(texts, parts, counts):
+            if part is None:
                 out.append(self.packed(self.library.encode(text, add_special_tokens=False).ids) + self.end)
-            else:
-                out.append(b"".join(new[k] if g is None else g for k, g in zip(keys, got)) + self.end if None in got else b"".join(got) + self.end)
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-        self.cache.update((k, v) for k, v in new.items() if len(k) <= CACHE_CHARS)
+                continue
+            i = -1
+            for key in missed[at : at + n]:  # in the order of the gaps
+                i = part.index(None, i + 1)
+                part[i] = new[key]
+            at += n
+            out.append(b"".join(part) + self.end)
+        missed.clear()
+        if len(cache) + len(new) > CACHE_PIECES:  # go on with the pieces of these texts, among them the common ones
+            used = set().union(*(keys for keys in found if keys is not None))
+            kept = [(k, cache[k]) for k in used if k not in new]
+            cache.clear()
+            cache.update(kept)
+        cache.update((k, v) for k, v in new.items() if len(k) <= CACHE_CHARS)
         return out
 
 
