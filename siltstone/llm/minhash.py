@@ -10,8 +10,9 @@
 3. Candidates: rounds over buckets that hold more than one component. A round compares members
    with a few hubs of the bucket, keeps pairs whose collision-corrected estimate, from bit counts,
    may reach the threshold, confirms these on the full sets and merges components. When hubs
-   bring nothing more, the members that remain in different components of a bucket are compared
-   block by block, and pairs that the estimate allows are confirmed, so that no link is lost.
+   have had their rounds, the members that remain in different components of a bucket are compared
+   block by block, all pairs that the estimate allows are confirmed where they are compared, and
+   the links that join components are kept, so that no component is missed.
 4. Components: alternating large-star and small-star joins; each node gets its smallest id.
 
 Defined cases: null, empty or white-space texts have an empty set and link with nothing; fewer
@@ -40,8 +41,8 @@ SMALL, LARGE = 320, 256  # SMALL * 0.8 = LARGE: below a similarity of 0.8 the ov
 LANES = -(-MINIMA * BITS // 64)
 #: What the estimate may fall short of the threshold by, some four standard deviations.
 MARGIN = 0.15
-#: Members of a bucket that are compared at once.
-BLOCK = 4096
+#: Bytes of full sets in a block of a bucket; two blocks are compared at once.
+BLOCK_BYTES = 8 << 20
 CACHED_WORDS = 1_000_000
 _WORDS: dict[bytes, int] = {}
 _DRAW = np.random.default_rng(20_021)
@@ -153,43 +154,50 @@ def _low_bits() -> np.ndarray:
     return np.bitwise_or.reduce(np.uint64(1) << np.arange(0, 64, BITS, dtype=np.uint64))
 
 
-def close_pairs(rows: dict, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs across components of one block pair of a bucket, by bit counts in numpy."""
-    node, comp, side = (np.asarray(rows[c]) for c in ("node", "comp", "side"))
-    lanes = np.array(rows["packed"].tolist() if hasattr(rows["packed"], "tolist") else rows["packed"], np.int64).view(np.uint64).reshape(len(node), LANES)
-    mask, chance = _low_bits(), 0.5**BITS
-    most = MINIMA * (1 - chance) * (1 - least)
-    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)  # side 0: a block against itself
-    us, vs = [], []
-    for i in left:
-        x = lanes[right] ^ lanes[i]
+def similar(x: np.ndarray, y: np.ndarray, whole: int) -> bool:
+    """Whether two sorted sets reach a similarity of whole / 100."""
+    both = np.concatenate((x, y))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return len(x) > 0 and 100 * common >= whole * (len(x) + len(y) - common)
+
+
+def spanning_links(node: np.ndarray, comp: np.ndarray, side: np.ndarray, lanes: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links between the components of one block pair of a bucket, one fewer than it joins at most.
+
+    Bit counts tell which pairs may be links; the full sets of those decide, unless links found
+    before join their components already. side 0: a block against itself, 1 against 2 otherwise.
+    """
+    mask, chance, whole = _low_bits(), 0.5**BITS, round(threshold * 100)
+    most = MINIMA * (1 - chance) * (1 - threshold + MARGIN)
+    size = np.array([len(x) for x in sets])
+    label = np.unique(comp, return_inverse=True)[1]
+    out = []
+    right = np.flatnonzero(side != 1)
+    for i in np.flatnonzero(side != 2):
+        ahead = right[right > i] if side[i] == 0 else right
+        x = lanes[ahead] ^ lanes[i]
         folded = x
         for s in range(1, BITS):
             folded = folded | (x >> np.uint64(s))
         unequal = np.bitwise_count(folded & mask).sum(axis=1)
-        hit = right[(unequal <= most) & (comp[right] != comp[i])]
-        if side[i] == 0:
-            hit = hit[hit > i]
-        us.append(np.full(len(hit), node[i]))
-        vs.append(node[hit])
-    return np.concatenate(us or [np.empty(0, np.int64)]), np.concatenate(vs or [np.empty(0, np.int64)])
+        fits = (unequal <= most) & (100 * np.minimum(size[ahead], size[i]) >= whole * np.maximum(size[ahead], size[i]))
+        may = ahead[fits]
+        for j in may[np.argsort(unequal[fits], kind="stable")].tolist():
+            if label[j] != label[i] and similar(sets[i], sets[j], whole):
+                out.append((max(node[i], node[j]), min(node[i], node[j])))
+                label[label == label[j]] = label[i]
+    return out
 
 
 def shared_shingles(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold."""
-    whole, parts = round(threshold * 100), 100
+    whole = round(threshold * 100)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v, a, b = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
-            for i, (x, y) in enumerate(zip(a, b)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                if parts * common >= whole * (len(x) + len(y) - common) and len(x):
-                    keep.append(i)
+            keep = [i for i, (x, y) in enumerate(zip(a, b)) if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), whole)]
             yield pa.RecordBatch.from_pydict({"u": pa.array([u[i] for i in keep], pa.int64()), "v": pa.array([v[i] for i in keep], pa.int64())})
 
     with_v = pairs.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("hv")), "v")
@@ -233,23 +241,29 @@ def hub_pairs(members: DataFrame, threshold: float, turn: int) -> DataFrame:
     return best.select(F.greatest("node", -F.col("s.h")).alias("u"), F.least("node", -F.col("s.h")).alias("v")).distinct()
 
 
-def block_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """All pairs across components of a bucket that the estimate allows, block by block.
+def block_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links across the components of a bucket, confirmed on full sets, after all its pairs were compared.
 
-    A bucket's members are dealt to blocks of about BLOCK by a hash and each pair of blocks is
-    compared by itself; only pairs that pass are rows.
+    Buckets with the same members are compared once. A bucket's members are dealt to blocks of
+    about BLOCK_BYTES of sets by a hash and each pair of blocks is a task's group; a group's rows
+    are fewer than its members, whatever the number of pairs.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).select("key", "blocks")
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    same = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    once = same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    full = cut(members.join(once, "key").join(sets, "node"), "compared")
+    sizes = full.groupBy("key").agg(F.ceil(F.sum(F.octet_length("hashes")) / BLOCK_BYTES).cast("long").alias("blocks"))
+    dealt = full.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     units = other.select(
-        "node", "comp", "packed", F.concat_ws(":", "key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
+        "node", "comp", "packed", "hashes", F.concat_ws(":", "key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        u, v = close_pairs({c: table.column(c).to_pylist() for c in ("node", "comp", "side", "packed")}, threshold - MARGIN)
-        return pa.table({"u": np.maximum(u, v).astype(np.int64), "v": np.minimum(u, v).astype(np.int64)})
+        node, comp, side = (table[c].to_numpy() for c in ("node", "comp", "side"))
+        lanes = np.array(table["packed"].to_pylist(), np.int64).view(np.uint64)
+        found = spanning_links(node, comp, side, lanes, [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()], threshold)
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
     return units.groupBy("unit").applyInArrow(compare, "u long, v long").distinct()
 
@@ -263,8 +277,7 @@ def links(docs: DataFrame, reps: DataFrame, n: int, threshold: float, hub_rounds
         now = cut(labelled(members, comps), "open")
         if now.isEmpty():
             break
-        pairs = hub_pairs(now, threshold, turn) if turn < hub_rounds else block_pairs(now, threshold)
-        found = cut(shared_shingles(pairs, sets, threshold), "links")
+        found = cut(shared_shingles(hub_pairs(now, threshold, turn), sets, threshold) if turn < hub_rounds else block_links(now, sets, threshold), "links")
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.unionByName(found)

@@ -141,11 +141,16 @@ def test_minhash_of_nothing(no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
-def test_blocks_compare_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 7)
-    lanes = minhash.packed(minhash.minima(np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1)).view(np.int64).tolist()
-    members = spark.createDataFrame([(1, i, i, lanes) for i in range(30)], "key long, node long, comp long, packed array<long>")
-    assert minhash.block_pairs(members, 0.8).count() == 30 * 29 // 2
+def test_blocks_join_all_components(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 7 * 8 * 400)
+    found = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 400, np.uint64))
+    lanes = minhash.packed(minhash.minima(found, 1)).view(np.int64).tolist()
+    members = spark.createDataFrame([(k, i, i, lanes) for i in range(30) for k in (1, 2)], "key long, node long, comp long, packed array<long>")
+    sets = spark.createDataFrame([(i, bytearray(found.tobytes())) for i in range(30)], "node long, hashes binary")
+    got = minhash.block_links(members, sets, 0.8)
+    assert got.count() < 30 * 29 // 2
+    comps = connected_components(got).select("component").distinct().collect()
+    assert [r.component for r in comps] == [0]
 
 
 def test_components(spark):
