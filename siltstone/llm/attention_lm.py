@@ -34,13 +34,16 @@ from pyspark.sql import functions as F
 from .common import cut, id_bytes, prepare
 from .word_tokens import word_tokens
 
-WIDTH, HIDDEN, EXPERTS, WINDOW, STRIDE = 16, 32, 16, 16, 12
+WIDTH, HIDDEN, EXPERTS, WINDOW, STRIDE = 16, 32, 16, 16, 14
 INPUTS = 8192
 BLOCK = 4096
-SHARE, ROUNDS, TRAINER_DOCS, GROUP = 8, 2, 512, 16
+SHARE, ROUNDS, TRAINER_DOCS, GROUP = 16, 2, 512, 16
+#: Logits are held within this, so that their exponentials stay finite.
+CLIP = np.float32(30)
+ONES = np.ones(max(WINDOW, EXPERTS), np.float32)
 BATCH, RATE, LEAN = 256, 0.01, 200.0
 #: Words of a task that are counted before they are handed on.
-HELD_WORDS = 1_000_000
+HELD_WORDS = 350_000
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -58,10 +61,10 @@ def count_words(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, Counter] = {}
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for block, c in blocks.items():
+        def out(but: int | None = None) -> Iterator[pa.RecordBatch]:
+            for block in [b for b in blocks if b != but]:
+                c = blocks.pop(block)
                 yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(c), block, np.int64)), "word": pa.array(list(c), pa.binary()), "n": pa.array(list(c.values()), pa.int64())})
-            blocks.clear()
 
         for batch in batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -72,7 +75,9 @@ def count_words(docs: DataFrame) -> DataFrame:
                         c[w] += 0
                 else:
                     c.update(words)
-            if sum(map(len, blocks.values())) > HELD_WORDS:
+            if len(blocks) > 1 and sum(map(len, blocks.values())) > HELD_WORDS:
+                yield from out(block_of(doc_id))  # ids come in order as a rule: the others are done
+            if sum(map(len, blocks.values())) > 2 * HELD_WORDS:
                 yield from out()
         yield from out()
 
@@ -86,8 +91,8 @@ def word_ids(counts: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         tokens = word_tokens(tokenizer, end_id)
         for batch in batches:
             words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            found = [tokens.packed(e.ids) for e in tokens.library.encode_batch(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["word", "n", "ids"])
+            found = tokens.look_up(words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([found[w] for w in words], pa.binary())], ["word", "n", "ids"])
 
     return counts.select("word", "n").mapInArrow(encode, "word binary, n long, ids binary")
 
@@ -113,6 +118,15 @@ def id_counts(counted: DataFrame, width: int, size: int, ends: int, end_id: int)
     return out.reshape(3, size)
 
 
+def add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """into[at] += rows, with repeats summed."""
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        places = at[order]
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(places)) + 1))
+        into[places[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+
+
 class Model:
     """Weights as one flat vector, expert counts, and the common distribution of ids."""
 
@@ -148,10 +162,10 @@ class Model:
         q, k, v = np.split((h.reshape(-1, WIDTH) @ self.qkv).reshape(b, WINDOW, 3 * WIDTH), 3, axis=2)
         a = q @ k.transpose(0, 2, 1)
         a *= WIDTH**-0.5
+        np.minimum(a, CLIP, out=a)
         a += self.mask
-        a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
+        a /= (a.reshape(-1, WINDOW) @ ONES[:WINDOW]).reshape(b, WINDOW, 1)
         o = (a @ v).reshape(-1, WIDTH)
         h2 = h.reshape(-1, WIDTH) + o @ self.back
         u = h2 @ self.up
@@ -159,9 +173,9 @@ class Model:
         np.maximum(u, 0, out=u)
         z = u @ self.out
         z += self.out0
-        z -= z.max(axis=1, keepdims=True)
+        np.clip(z, -CLIP, CLIP, out=z)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z /= (z @ ONES[:EXPERTS])[:, None]
         return {"code": code, "h": h, "q": q, "k": k, "v": v, "a": a, "o": o, "h2": h2, "u": u, "mix": z}
 
     def windows(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +222,7 @@ class Model:
             joint = f["mix"] * self.table[np.maximum(t, 0)]
             share = joint / joint.sum(axis=1, keepdims=True)
             share *= s[:, None]
-            np.add.at(fresh, t[s > 0], share[s > 0])
+            add_rows(fresh, t[s > 0], share[s > 0])
             self._slopes(f, (f["mix"] * s[:, None] - share) / max(1.0, s.sum()), views)
             step += 1
             first += 0.1 * (slopes - first)
@@ -237,7 +251,7 @@ class Model:
         dh = dh2 + dqkv @ self.qkv.T
         g["place"][:] = dh.reshape(b, WINDOW, WIDTH).sum(axis=0)
         g["embed"][:] = 0
-        np.add.at(g["embed"], f["code"].ravel(), dh)
+        add_rows(g["embed"], f["code"].ravel(), dh)
 
 
 def train_round(docs: DataFrame, model: Model, turn: int, tokenizer: str, end_id: int) -> Model:

@@ -63,7 +63,7 @@ class WordTokens:
             return key
         return key[1:] if key[0] == "\0" else " " + key
 
-    def _look_up(self, new: list[str]) -> dict[str, bytes]:
+    def look_up(self, new: list[str]) -> dict[str, bytes]:
         """Ids of pieces from the library; where white space only parts words, many in a call, with a mark between."""
         if not self.drops_space:
             ids = self.library.encode_batch_fast([self.source(k) for k in new], add_special_tokens=False)
@@ -92,7 +92,7 @@ class WordTokens:
             before = len(missed)
             parts.append(list(map(get, keys)) if keys is not None else None)
             counts.append(len(missed) - before)
-        new = self._look_up(list(dict.fromkeys(missed))) if missed else {}
+        new = self.look_up(list(dict.fromkeys(missed))) if missed else {}
         out, at = [], 0
         for text, part, n in zip(texts, parts, counts):
             if part is None:
