@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,17 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
 def id_bytes(docs: DataFrame) -> DataFrame:
     """(doc_id, data): the text as UTF-8 bytes, null as empty."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold_memory(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Called where a task begins: a Python worker serves many stages, and what earlier ones cached is let go.
+
+    release: frees what this owner keeps from task to task.
+    """
+    for other in [o for o in _HELD if o != owner]:
+        _HELD.pop(other)()
+    if release is not None:
+        _HELD[owner] = release

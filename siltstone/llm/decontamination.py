@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_bytes, prepare
+from .common import cut, hold_memory, id_bytes, prepare
 
 #: Everything but 0-9, a-z and the bytes of non-ASCII characters parts words (after lower-casing).
 _PARTS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -162,6 +162,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory("decontamination")
         single = Automaton([(n, words(d)) for n, d in sent[0].value], window) if len(sent) == 1 else None
         for batch in batches:
             texts = [words(d) for d in batch.column(1).to_pylist()]

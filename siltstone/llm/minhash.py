@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_bytes, prepare
+from .common import cut, hold_memory, id_bytes, prepare
 from .components import connected_components
 
 ROWS, BANDS, BITS = 5, 40, 2
@@ -43,7 +43,7 @@ LANES = -(-MINIMA * BITS // 64)
 MARGIN = 0.15
 #: Bytes of full sets in a block of a bucket; two blocks are compared at once.
 BLOCK_BYTES = 8 << 20
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 700_000
 _WORDS: dict[bytes, int] = {}
 _DRAW = np.random.default_rng(20_021)
 _FACTOR = _DRAW.integers(1, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,6 +120,7 @@ def signed(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     overlap = min(LARGE, int(SMALL * threshold))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory("shingles", _WORDS.clear)
         for batch in batches:
             sizes, keys, signatures = [], [], []
             for data in batch.column(1).to_pylist():
@@ -216,6 +217,7 @@ def bucket_members(reps: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory("shingles", _WORDS.clear)
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"node": batch.column(0), "hashes": pa.array([shingle_set(d, n).tobytes() for d in batch.column(1).to_pylist()], pa.binary())})
 

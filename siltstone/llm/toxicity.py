@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_bytes, prepare
+from .common import cut, hold_memory, id_bytes, prepare
 from .decontamination import words
 
 HASH_BITS, SELECTED, FACTORS = 20, 4096, 8
 PREFIXES = range(3, 9)
 SAMPLE, EPOCHS, RATE, DECAY, BATCH = 12_000, 12, 0.02, 2e-4, 256
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -135,6 +135,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     sent = docs.sparkSession.sparkContext.broadcast((m.chosen, m.bias, m.linear, m.factors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory("toxicity")
         machine = Machine(*sent.value)
         for batch in batches:
             scores = [machine.score(d) for d in batch.column(1).to_pylist()]

@@ -11,6 +11,8 @@ import os
 import re
 from array import array
 
+from .common import hold_memory
+
 #: Pieces that a process keeps (some 200 bytes each), and the longest that it keeps, in characters.
 CACHE_PIECES, CACHE_CHARS = 1_300_000, 40
 #: Stands between words that are looked up together, so many at once.
@@ -116,4 +118,5 @@ class WordTokens:
 
 def word_tokens(path: str, end_id: int) -> WordTokens:
     """One of each kind in a process; Spark's Python workers keep it from task to task."""
+    hold_memory("tokens", _LOADED.clear)
     return _LOADED.get((path, end_id)) or _LOADED.setdefault((path, end_id), WordTokens(path, end_id))
