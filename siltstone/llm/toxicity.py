@@ -75,10 +75,11 @@ def train(texts: list[np.ndarray], labels: np.ndarray) -> Machine:
     if not 0 < toxic < n:
         share = toxic / n if n else 0.0
         return Machine(np.empty(0, np.int64), 40.0 * (2 * share - 1), np.empty(0), np.empty((0, FACTORS)))
-    sizes = np.array([len(t) for t in texts])
-    flat = np.concatenate(texts)
-    both = np.bincount(flat, minlength=1 << HASH_BITS).astype(float)
-    bad = np.bincount(flat, np.repeat(labels, sizes), minlength=1 << HASH_BITS)
+    both, bad = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
+    for t, toxic_text in zip(texts, labels):  # the terms of a text are distinct
+        both[t] += 1
+        if toxic_text:
+            bad[t] += 1
     share = toxic / n
     expected = both * share
     chi = np.where(both >= 3, (bad - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - both / (n + 1)), 1e-9), 0)
