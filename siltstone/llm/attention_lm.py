@@ -191,17 +191,46 @@ class Model:
         scored = inside & ((number == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
         return before, np.where(inside, ids[at], -1), scored
 
-    def log_probabilities(self, ids: np.ndarray, lengths: np.ndarray, batch: int = 1024) -> np.ndarray:
-        """log10 probability of each id, in order."""
+    def log_probabilities(self, ids: np.ndarray, lengths: np.ndarray, batch: int = 128) -> np.ndarray:
+        """log10 probability of each id, in order.
+
+        The same function as forward(). Nothing nonlinear stands between embedding and projections,
+        so that these are taken once for each code; places that only give context are keys alone.
+        """
         inputs, targets, scored = self.windows(ids, lengths)
-        found = []
-        for at in range(0, len(inputs), batch):
-            part = slice(at, at + batch)
-            mix = self.forward(inputs[part])["mix"]
-            t, s = targets[part].ravel(), scored[part].ravel()
-            p = np.einsum("ij,ij->i", mix[s], self.table[t[s]])
-            found.append(np.log10(p, dtype=np.float64))
-        return np.concatenate(found)
+        scaled = self.qkv * np.where(np.arange(3 * WIDTH) < WIDTH, np.float32(WIDTH**-0.5), np.float32(1))
+        asks = np.concatenate((scaled[:, :WIDTH], self.up), axis=1)
+        tables = [(self.embed @ m, self.place @ m) for m in (asks, scaled[:, WIDTH:])]
+        tables[0][1][:, WIDTH:] += self.up0
+        back_up, allowed = self.back @ self.up, np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        found = np.ones(targets.shape)
+        codes, targets = inputs % INPUTS, np.maximum(targets, 0)
+        firsts = scored[:, 0]
+        for rows, begin in ((np.flatnonzero(firsts), 0), (np.flatnonzero(~firsts), WINDOW - STRIDE)):
+            for at in range(0, len(rows), batch):
+                part = rows[at : at + batch]
+                code = codes[part]
+                ask = tables[0][0].take(code[:, begin:], axis=0)
+                ask += tables[0][1][begin:]
+                give = tables[1][0].take(code, axis=0)
+                give += tables[1][1]
+                a = ask[:, :, :WIDTH] @ give[:, :, :WIDTH].transpose(0, 2, 1)
+                np.minimum(a, CLIP, out=a)
+                np.exp(a, out=a)
+                a *= allowed[begin:]
+                o = (a @ give[:, :, WIDTH:]).reshape(-1, WIDTH)
+                o /= (a.reshape(-1, WINDOW) @ ONES[:WINDOW])[:, None]
+                u = o @ back_up
+                u += ask[:, :, WIDTH:].reshape(-1, HIDDEN)
+                np.maximum(u, 0, out=u)
+                z = u @ self.out
+                z += self.out0
+                np.clip(z, -CLIP, CLIP, out=z)
+                np.exp(z, out=z)
+                p = np.einsum("ij,ij->i", z, self.table.take(targets[part, begin:].ravel(), axis=0))
+                p /= z @ ONES[:EXPERTS]
+                found[part, begin:] = p.reshape(len(part), -1)
+        return np.log10(found[scored])
 
     def train(self, ids: np.ndarray, lengths: np.ndarray, seed: int) -> None:
         """One pass of Adam over the windows; expert counts follow the responsibilities."""
