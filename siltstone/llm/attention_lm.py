@@ -25,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ SHARE, ROUNDS, TRAINER_DOCS, GROUP = 8, 2, 512, 16
 CLIP = np.float32(30)
 ONES = np.ones(max(WINDOW, EXPERTS), np.float32)
 BATCH, RATE, LEAN = 256, 0.01, 200.0
+#: Stands for the end among words, which are bytes.
+END = ""
 #: Words of a task that are counted before they are handed on.
 HELD_WORDS = 350_000
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -321,20 +324,22 @@ def train_round(docs: DataFrame, model: Model, turn: int, tokenizer: str, end_id
 
 
 def mixed(parts: np.ndarray, per_word: np.ndarray, share: np.ndarray, free: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """log10 probability of each text of ``words`` words.
+    """log10 probability of each text of ``words`` words, one at least.
 
     parts: of each id; per_word: ids a word; share: weighted, of the corpus's words with the same
     first id (of all words for a word without ids); free: weight of the product over ids.
     """
     sums = np.concatenate(([0.0], np.cumsum(parts)))
     ends = np.cumsum(per_word)
-    has = per_word > 0
-    first = np.where(has, parts[np.minimum(ends - per_word, len(parts) - 1)], 0.0)
-    rest = np.where(has, 10 ** np.maximum(sums[ends] - sums[ends - per_word] - first, -300), 0.0)
-    each = first + np.log10(np.maximum(share + free * rest, 1e-300))
-    last = np.cumsum(words)
-    total = np.concatenate(([0.0], np.cumsum(each)))
-    return total[last] - total[last - words]
+    first = np.where(per_word > 0, parts[np.minimum(ends - per_word, len(parts) - 1)], 0.0)
+    rest = sums[ends] - sums[ends - per_word]
+    rest -= first
+    rest = np.where(per_word > 0, np.exp(np.maximum(rest, -300) * np.log(10)), 0.0)
+    rest *= free
+    rest += share
+    each = np.log(np.maximum(rest, 1e-300)) / np.log(10)
+    each += first
+    return np.add.reduceat(each, np.cumsum(words) - words)
 
 
 def score_texts(docs: DataFrame, tokenizer: str, end_id: int = 49407, start_id: int = 49406) -> DataFrame:
@@ -358,41 +363,35 @@ def score_texts(docs: DataFrame, tokenizer: str, end_id: int = 49407, start_id:
     def score(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
         *state, firsts = sent.value
         model = Model(*state)
-        order = words["word"].to_pylist()
+        order = [*words["word"].to_pylist(), END]
         place = dict(zip(order, range(len(order))))
-        n = words["n"].to_numpy().astype(np.int64) if len(order) else np.zeros(0, np.int64)
-        ids = words["ids"].to_pylist()
-        size = np.array([len(i) // width for i in ids], np.int64)
-        pool = np.frombuffer(b"".join(ids), f"<u{width}").astype(np.int64) if ids else np.zeros(0, np.int64)
+        n = np.append(words["n"].to_numpy(), ends).astype(np.int64)
+        ids = [*words["ids"].to_pylist(), np.array([end_id], f"<u{width}").tobytes()]
+        size = np.array(list(map(len, ids)), np.int64) // width
+        pool = np.frombuffer(b"".join(ids), f"<u{width}").astype(np.int64)
         begin = np.cumsum(size) - size
         seen, kinds_of = np.full(len(size), float(max(total, 1))), np.zeros(len(size))
         seen[size > 0], kinds_of[size > 0] = (f[pool[begin[size > 0]]] for f in firsts)
         share = n / np.maximum(seen + kinds_of, 1)
         free = np.where(seen > 0, kinds_of / np.maximum(seen + kinds_of, 1), 1.0)
-        scale = np.log10(total + 1 * (kinds + 1))
-        base_of = np.log10(n + 1) - scale
-        end_base = np.log10(ends + 1) - scale
-        one = np.ones(1, np.int64)
+        share[-1], free[-1] = 1, 0  # the end is its own id, whatever its count
+        base_of = np.log10(n + 1) - np.log10(total + 1 * (kinds + 1))
         out: dict[str, list] = {c.split()[0]: [] for c in SCORES.split(", ")}
         doc_ids, datas = texts["doc_id"].to_pylist(), texts["data"].to_pylist()
         for at in range(0, len(datas), 256):
-            flat, lengths, per_word, shares, rests = [], [], [], [], []
-            for doc_id, data in zip(doc_ids[at : at + 256], datas[at : at + 256]):
-                w = np.fromiter(map(place.__getitem__, data.lower().split()), np.int64)
-                out["doc_id"].append(doc_id)
-                out["held_out"].append(is_held_out(doc_id))
-                out["n_tokens"].append(len(w) + 1)
-                out["n_known"].append(int((n[w] > 0).sum()) + (ends > 0))
-                out["base_score"].append(float(base_of[w].sum() + end_base))
-                per = size[w]
-                flat.append(pool[np.repeat(begin[w] - (np.cumsum(per) - per), per) + np.arange(per.sum())])
-                flat.append(np.array([end_id]))
-                lengths.append(int(per.sum()) + 1)
-                per_word += [per, one]
-                shares += [share[w], one]
-                rests += [free[w], one - 1]
-            parts = model.log_probabilities(np.concatenate(flat), np.array(lengths))
-            out["score"] += mixed(parts, np.concatenate(per_word), np.concatenate(shares), np.concatenate(rests), np.array(out["n_tokens"][at:])).tolist()
+            lists = [[*data.lower().split(), END] for data in datas[at : at + 256]]
+            counts = np.array(list(map(len, lists)), np.int64)
+            w = np.fromiter(map(place.__getitem__, chain.from_iterable(lists)), np.int64, counts.sum())
+            starts = np.cumsum(counts) - counts
+            per = size[w]
+            flat = pool[np.repeat(begin[w] - (np.cumsum(per) - per), per) + np.arange(per.sum())]
+            parts = model.log_probabilities(flat, np.add.reduceat(per, starts))
+            out["doc_id"] += doc_ids[at : at + 256]
+            out["held_out"] += map(is_held_out, doc_ids[at : at + 256])
+            out["n_tokens"] += counts.tolist()
+            out["n_known"] += np.add.reduceat((n[w] > 0).astype(np.int64), starts).tolist()
+            out["base_score"] += np.add.reduceat(base_of[w], starts).tolist()
+            out["score"] += mixed(parts, per, share[w], free[w], counts).tolist()
         out["train_tokens"] = [total] * len(datas)
         return pa.table({c: pa.array(v, {"h": pa.bool_(), "b": pa.float64(), "s": pa.float64()}.get(c[0], pa.int64())) for c, v in out.items()})
 
