@@ -124,7 +124,7 @@ def id_counts(counted: DataFrame, width: int, size: int, ends: int, end_id: int)
 def add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """into[at] += rows, with repeats summed."""
     if len(at):
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.uint16) if at.max() < 1 << 16 else at, kind="stable")  # 16 bits are sorted by radix
         places = at[order]
         starts = np.concatenate(([0], np.flatnonzero(np.diff(places)) + 1))
         into[places[starts]] += np.add.reduceat(rows[order], starts, axis=0)
@@ -245,21 +245,29 @@ class Model:
             size = int(np.prod(shape))
             views[name] = slopes[at : at + size].reshape(shape)
             at += size
-        first, second, step = np.zeros_like(slopes), np.zeros_like(slopes), 0
+        first, second, spare, step = np.zeros_like(slopes), np.zeros_like(slopes), np.empty_like(slopes), 0
         fresh = np.zeros_like(self.experts)
         for n, at in enumerate(range(0, len(order), BATCH)):
             rows = order[at : at + BATCH]
             f = self.forward(inputs[rows])
             t, s = targets[rows].ravel(), scored[rows].ravel().astype(np.float32)
             joint = f["mix"] * self.table[np.maximum(t, 0)]
-            share = joint / joint.sum(axis=1, keepdims=True)
-            share *= s[:, None]
+            share = joint * (s / (joint @ ONES[:EXPERTS]))[:, None]
             add_rows(fresh, t[s > 0], share[s > 0])
             self._slopes(f, (f["mix"] * s[:, None] - share) / max(1.0, s.sum()), views)
             step += 1
-            first += 0.1 * (slopes - first)
-            second += 0.01 * (slopes * slopes - second)
-            self.weights -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+            first *= 0.9
+            np.multiply(slopes, 0.1, out=spare)
+            first += spare
+            second *= 0.99
+            np.multiply(slopes, slopes, out=spare)
+            spare *= 0.01
+            second += spare
+            np.sqrt(second, out=spare)
+            spare += 1e-8 * (1 - 0.99**step) ** 0.5
+            np.divide(first, spare, out=spare)
+            spare *= RATE * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
+            self.weights -= spare
             if n % 64 == 63:
                 self.experts = 0.7 * self.experts + fresh
                 fresh[:] = 0
@@ -277,8 +285,10 @@ class Model:
         do = (dh2 @ self.back.T).reshape(b, WINDOW, WIDTH)
         da = do @ f["v"].transpose(0, 2, 1)
         dv = f["a"].transpose(0, 2, 1) @ do
-        ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True)) * WIDTH**-0.5
-        dqkv = np.concatenate((ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"], dv), axis=2).reshape(-1, 3 * WIDTH)
+        da -= np.einsum("bij,bij->bi", da, f["a"])[:, :, None]
+        da *= f["a"]
+        da *= WIDTH**-0.5
+        dqkv = np.concatenate((da @ f["k"], da.transpose(0, 2, 1) @ f["q"], dv), axis=2).reshape(-1, 3 * WIDTH)
         g["qkv"][:] = f["h"].reshape(-1, WIDTH).T @ dqkv
         dh = dh2 + dqkv @ self.qkv.T
         g["place"][:] = dh.reshape(b, WINDOW, WIDTH).sum(axis=0)
