@@ -100,15 +100,26 @@ def word_ids(counts: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return counts.select("word", "n").mapInArrow(encode, "word binary, n long, ids binary")
 
 
+def flat_ids(chunks: list[pa.Array], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each row has, and all ids, of a column of ids as bytes, read from its buffers."""
+    sizes, parts = [np.zeros(0, np.int64)], []
+    for c in (c for c in chunks if len(c)):
+        _, offsets, data = c.buffers()
+        at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+        sizes.append(np.diff(at) // width)
+        if at[-1] > at[0]:
+            parts.append(memoryview(data)[at[0] : at[-1]])
+    return np.concatenate(sizes), np.frombuffer(b"".join(parts), f"<u{width}").astype(np.int64)
+
+
 def id_counts(counted: DataFrame, width: int, size: int, ends: int, end_id: int) -> np.ndarray:
     """Occurrences of each id in the training documents, of each as a word's first, and words that it is first of: three sums an id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(3 * size)
         for batch in batches:
-            ids, n = batch.column(1).to_pylist(), np.asarray(batch.column(0).to_pylist(), float)
-            lengths = np.array([len(i) // width for i in ids], np.int64)
-            flat = np.frombuffer(b"".join(ids), f"<u{width}").astype(np.int64)
+            n = batch.column(0).to_numpy().astype(float)
+            lengths, flat = flat_ids([batch.column(1)], width)
             first = flat[(np.cumsum(lengths) - lengths)[lengths > 0]]
             total += np.bincount(np.concatenate((flat, size + first, 2 * size + first)), np.concatenate((np.repeat(n, lengths), n[lengths > 0], np.ones(len(first)))), 3 * size)
         at = np.flatnonzero(total)
@@ -376,9 +387,7 @@ def score_texts(docs: DataFrame, tokenizer: str, end_id: int = 49407, start_id:
         order = [*words["word"].to_pylist(), END]
         place = dict(zip(order, range(len(order))))
         n = np.append(words["n"].to_numpy(), ends).astype(np.int64)
-        ids = [*words["ids"].to_pylist(), np.array([end_id], f"<u{width}").tobytes()]
-        size = np.array(list(map(len, ids)), np.int64) // width
-        pool = np.frombuffer(b"".join(ids), f"<u{width}").astype(np.int64)
+        size, pool = (np.append(x, last) for x, last in zip(flat_ids(words["ids"].chunks, width), (1, end_id)))
         begin = np.cumsum(size) - size
         seen, kinds_of = np.full(len(size), float(max(total, 1))), np.zeros(len(size))
         seen[size > 0], kinds_of[size > 0] = (f[pool[begin[size > 0]]] for f in firsts)

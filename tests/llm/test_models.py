@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 
@@ -177,3 +178,11 @@ def test_lm_learns_unseen_texts():
     m.train(np.concatenate(seen), np.array([len(i) for i in seen]), 1)
     assert m.log_probabilities(np.concatenate(new), size).sum() > 0.95 * before
     assert m.log_probabilities(np.concatenate(new), size).sum() > 0.95 * np.log10(m.common[np.concatenate(new)]).sum()
+
+
+def test_flat_ids():
+    column = pa.array([b"\1\0", b"", b"\2\0\3\0", b"\4\0"], pa.binary())
+    size, ids = attention_lm.flat_ids([column.slice(1, 2), column.slice(0, 0), column.slice(3), column.slice(1, 1)], 2)
+    assert size.tolist() == [0, 2, 1, 0] and ids.tolist() == [2, 3, 4]
+    assert [len(x) for x in attention_lm.flat_ids([], 2)] == [0, 0]
+    assert attention_lm.flat_ids([column.cast(pa.large_binary())], 2)[1].tolist() == [1, 2, 3, 4]
