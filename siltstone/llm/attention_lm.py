@@ -8,9 +8,10 @@ and are not scored again, so that each id is scored once, in masked batches.
 
 From the corpus: counts of all words of all training documents (the base score, and the
 distribution of ids that every expert leans on) by distributed sums; and the weights, by
-federated training: every SHARE-th training document by a hash of its id takes part, whatever
-the table's size, dealt to trainers of about TRAINER_DOCS; each trains one pass and weights and
-expert counts are averaged, first in groups of trainers, for ROUNDS rounds on different documents.
+federated training: every training document takes part, in one of ROUNDS rounds by a hash of its
+id, dealt to trainers of about TRAINER_DOCS; each trains one pass and weights and expert counts are
+averaged, first over the DEALT trainers of a task, then in groups of tasks. Texts that are dealt
+out, to trainers and to blocks, are compressed many together.
 
 Words meet the counts by blocks of BLOCK neighbouring ids, not by rows of documents: a block asks
 once for each of its words, so that no vocabulary has to be broadcast.
@@ -38,7 +39,7 @@ from .word_tokens import word_tokens
 WIDTH, HIDDEN, EXPERTS, WINDOW, STRIDE = 16, 32, 16, 16, 12
 INPUTS = 8192
 BLOCK = 4096
-SHARE, ROUNDS, TRAINER_DOCS, GROUP = 8, 2, 512, 16
+ROUNDS, TRAINER_DOCS, DEALT, GROUP = 2, 512, 8, 16
 #: Logits are held within this, so that their exponentials stay finite.
 CLIP = np.float32(30)
 ONES = np.ones(max(WINDOW, EXPERTS), np.float32)
@@ -307,25 +308,63 @@ class Model:
         add_rows(g["embed"], f["code"].ravel(), dh)
 
 
+def packed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, packed) of rows (key, doc_id, data): the texts of a batch with equal keys, compressed together."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            order = np.argsort(keys, kind="stable")
+            found, begins = np.unique(keys[order], return_index=True)
+            texts, out = batch.select(["doc_id", "data"]), []
+            for at in np.split(order, begins[1:]) if len(found) else ():
+                part, sink = texts.take(pa.array(at)), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                    to.write_batch(part)
+                out.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(out, pa.binary())], [key, "packed"])
+
+    return rows.select(key, "doc_id", "data").mapInArrow(pack, f"{key} long, packed binary")
+
+
+def unpacked(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
+    """Ids and texts of the rows of packed()."""
+    parts = [pa.ipc.open_stream(p).read_all() for p in table["packed"].to_pylist()]
+    ids, datas = (list(chain.from_iterable(p[c].to_pylist() for p in parts)) for c in ("doc_id", "data"))
+    return ids, datas
+
+
+def taking_part(docs: DataFrame, turn: int) -> DataFrame:
+    """(doc_id, data) of the training documents of a round; each is in one of the ROUNDS rounds."""
+    mark = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(ROUNDS))
+    return id_bytes(docs).where((mark == turn) & F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True)))
+
+
 def train_round(docs: DataFrame, model: Model, turn: int, tokenizer: str, end_id: int) -> Model:
-    """One round over its documents: trainers, then means of groups of trainers, then their mean."""
+    """One round over its documents: trainers, then means of a task's trainers, of groups of tasks, and of all."""
     spark = docs.sparkSession
-    mark = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SHARE * ROUNDS))
-    taken = id_bytes(docs).where((mark == turn) & F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True)))
+    taken = taking_part(docs, turn)
     n = taken.select("doc_id").count()
     if not n:
         return model
-    trainers = -(-n // TRAINER_DOCS)
+    tasks = -(-n // (TRAINER_DOCS * DEALT))
     sent = spark.sparkContext.broadcast((model.weights, model.experts.astype(np.float32), model.common, model.start))
 
     def train(key: tuple, table: pa.Table) -> pa.Table:
         tokens = word_tokens(tokenizer, end_id)
-        own = Model(*(x.copy() if isinstance(x, np.ndarray) else x for x in sent.value))
-        table = table.sort_by("doc_id")
-        texts = [b" ".join(d.lower().split()).decode("utf-8", "replace") for d in table["data"].to_pylist()]
-        ids = [np.frombuffer(e, f"<u{tokens.width}") for e in tokens.encode(texts)]
-        own.train(np.concatenate(ids).astype(np.int64), np.array([len(i) for i in ids]), key[0].as_py())
-        return pa.table({"part": pa.array([key[0].as_py() // GROUP], pa.int64()), "n": pa.array([1], pa.int64()), "weights": pa.array([own.weights.tobytes()], pa.binary()), "experts": pa.array([own.experts.astype(np.float32).tobytes()], pa.binary())})
+        tokens.cache.clear()  # what other tasks met: rare words for the most part
+        dealt = sorted(zip(*unpacked(table)), key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
+        trainers = -(-len(dealt) // TRAINER_DOCS)
+        weights, experts = 0.0, 0.0
+        for k in range(trainers):
+            own = Model(*(x.copy() if isinstance(x, np.ndarray) else x for x in sent.value))
+            texts = [b" ".join(data.lower().split()).decode("utf-8", "replace") for _, data in dealt[k::trainers]]
+            ids = [np.frombuffer(e, f"<u{tokens.width}") for e in tokens.encode(texts)]
+            own.train(np.concatenate(ids).astype(np.int64), np.array([len(i) for i in ids]), key[0].as_py() * DEALT + k)
+            weights, experts = weights + own.weights.astype(np.float64), experts + own.experts
+        tokens.cache.clear()
+        mean_of = [pa.array([(x / trainers).astype(np.float32).tobytes()], pa.binary()) for x in (weights, experts)]
+        return pa.table([pa.array([key[0].as_py() // GROUP], pa.int64()), pa.array([trainers], pa.int64()), *mean_of], ["part", "n", "weights", "experts"])
 
     def mean(table: pa.Table) -> pa.Table:
         n = np.asarray(table["n"].to_pylist(), float)
@@ -336,9 +375,10 @@ def train_round(docs: DataFrame, model: Model, turn: int, tokenizer: str, end_id
         return pa.table({"part": pa.array([table["part"][0].as_py() // GROUP], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), **out})
 
     schema = "part long, n long, weights binary, experts binary"
-    parts = cut(taken.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(trainers)).alias("trainer")).applyInArrow(train, schema), "trainers")
-    while trainers > GROUP:
-        parts, trainers = parts.groupBy("part").applyInArrow(mean, schema), -(-trainers // GROUP)
+    dealt = packed(taken.withColumn("task", F.pmod(F.xxhash64("doc_id"), F.lit(tasks))), "task")
+    parts = cut(dealt.groupBy("task").applyInArrow(train, schema), "trainers")
+    while tasks > GROUP:
+        parts, tasks = parts.groupBy("part").applyInArrow(mean, schema), -(-tasks // GROUP)
     final = mean(parts.orderBy("part", F.xxhash64("weights")).toArrow())
     shape = model.experts.shape
     return Model(np.frombuffer(final["weights"][0].as_py(), np.float32), np.frombuffer(final["experts"][0].as_py(), np.float32).reshape(shape).astype(np.float64), model.common, model.start)
@@ -396,7 +436,7 @@ def score_texts(docs: DataFrame, tokenizer: str, end_id: int = 49407, start_id:
         share[-1], free[-1] = 1, 0  # the end is its own id, whatever its count
         base_of = np.log10(n + 1) - np.log10(total + 1 * (kinds + 1))
         out: dict[str, list] = {c.split()[0]: [] for c in SCORES.split(", ")}
-        doc_ids, datas = texts["doc_id"].to_pylist(), texts["data"].to_pylist()
+        doc_ids, datas = unpacked(texts)
         for at in range(0, len(datas), 256):
             lists = [[*data.lower().split(), END] for data in datas[at : at + 256]]
             counts = np.array(list(map(len, lists)), np.int64)
@@ -415,4 +455,4 @@ def score_texts(docs: DataFrame, tokenizer: str, end_id: int = 49407, start_id:
         return pa.table({c: pa.array(v, {"h": pa.bool_(), "b": pa.float64(), "s": pa.float64()}.get(c[0], pa.int64())) for c, v in out.items()})
 
     with_block = id_bytes(docs).withColumn("block", F.expr(f"coalesce((doc_id - pmod(doc_id, {BLOCK})) div {BLOCK}, -1L)"))
-    return with_block.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, SCORES)
+    return packed(with_block, "block").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, SCORES)

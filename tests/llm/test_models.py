@@ -180,6 +180,13 @@ def test_lm_learns_unseen_texts():
     assert m.log_probabilities(np.concatenate(new), size).sum() > 0.95 * np.log10(m.common[np.concatenate(new)]).sum()
 
 
+def test_lm_every_training_document_takes_part(spark, edge_docs, edge_rows):
+    got = [r.doc_id for turn in range(attention_lm.ROUNDS) for r in attention_lm.taking_part(edge_docs, turn).collect()]
+    assert Counter(got) == Counter(i for i, _ in edge_rows if not attention_lm.is_held_out(i))
+    rows = attention_lm.packed(edge_docs.selectExpr("abs(coalesce(doc_id, 0)) % 3 AS k", "doc_id", "cast(text AS binary) AS data"), "k").toArrow()
+    assert Counter(zip(*attention_lm.unpacked(rows))) == Counter((i, t if t is None else t.encode()) for i, t in edge_rows)
+
+
 def test_flat_ids():
     column = pa.array([b"\1\0", b"", b"\2\0\3\0", b"\4\0"], pa.binary())
     size, ids = attention_lm.flat_ids([column.slice(1, 2), column.slice(0, 0), column.slice(3), column.slice(1, 1)], 2)
