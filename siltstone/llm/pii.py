@@ -9,7 +9,8 @@ came from; the same detectors run on it and what they find is mapped back.
 - Spelled digits (en, fr, de, es; "double", "triple", "plus") in runs of three or more.
 - at/dot disguises: bracketed at or dot, at/dot as words between labels (bare words only with a
   spelled dot and a common last label), spaces around them.
-An added span never overlaps a base span of its kind and always covers a disguise.
+An added span always covers a disguise and never lies within a base span of its kind; where the
+base sees a fragment of a disguised identifier, its span stays and the whole one is added.
 
 Defined cases: a null text is the empty text and holds nothing; equal starts are ordered by kind
 as listed; every row of a repeated id is reported; an empty table gives an empty result; long
@@ -250,8 +251,8 @@ def find_disguised(text: str, base: list[list[Span]]) -> list[tuple[int, int, in
             if first:
                 a, b, hidden = first.back(a, b)
                 changed = changed or hidden
-            near = bisect_right(base[kind], (b, -1)) - 1
-            if changed and not (near >= 0 and base[kind][near][1] > a and base[kind][near][0] < b):
+            near = bisect_right(base[kind], (a, len(text))) - 1
+            if changed and not (near >= 0 and base[kind][near][1] >= b):
                 out.append((a, b, kind))
     return out
 

@@ -63,6 +63,23 @@ def test_disguises(text, span):
     assert got[2] == span, (got, text[int(span.split(":")[1]) : int(span.split(":")[2])])
 
 
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("j\u043ehn@example.com", "email:0:16,email:2:16"),
+        ("jane@example.c\u043em", "email:0:14,email:0:16"),
+        ("jane@mail.example [dot] com", "email:0:17,email:0:27"),
+        ("john [dot] doe@example.com", "email:0:26,email:11:26"),
+        ("+49 170 1234567 eight nine zero", "phone:0:15,phone:0:31"),
+        ("jane@example.com", "email:0:16"),
+    ],
+)
+def test_fragments_keep_their_span_and_the_whole_is_added(text, spans):
+    counts, sha, got, added = pii.inspect(text)
+    assert (got, sum(counts), added) == (spans, 1, spans.count(","))
+    assert sha == hashlib.sha256(pii.joined([(a, b, k) for k, s in enumerate(pii.find_base(text)) for a, b in s]).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("text", ["look at the dot matrix", "meet me at example.com", "one two three go", "we are at home. Next", "(at) noon", "a man @ home", "Привет, мир. Как дела", "at at at dot dot", "see [1] and (2)", "sept huit neuf"])
 def test_plain_talk_is_left_alone(text):
     assert pii.inspect(text)[2] == ""
