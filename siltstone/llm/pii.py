@@ -6,9 +6,10 @@ came from; the same detectors run on it and what they find is mapped back.
 
 - Characters: look-alike letters, digits of any script, full-width forms, dashes and odd spaces
   become ASCII; invisible characters vanish.
-- Spelled digits (en, fr, de, es; "double", "triple", "plus") in runs of three or more.
+- Spelled digits (en, fr, de, es; "double", "triple", "plus") in runs of three or more; shorter runs
+  beside figures, where the identifier that they complete decides.
 - at/dot disguises: bracketed at or dot, at/dot as words between labels (bare words only with a
-  spelled dot and a common last label), spaces around them.
+  spelled dot and a known last label, a country's or a common one), spaces around them.
 An added span always covers a disguise and never lies within a base span of its kind; where the
 base sees a fragment of a disguised identifier, its span stays and the whole one is added.
 
@@ -101,11 +102,18 @@ _DIGITS |= dict(zip("null eins zwei drei vier fünf sechs sieben acht neun".spli
 _DIGITS |= dict(zip("cero uno dos tres cuatro cinco seis siete ocho nueve".split(), "0123456789"))
 _TIMES = {"double": 2, "triple": 3}
 _AT_WORDS, _DOT_WORDS = "at|arroba|arobase", "dot|punkt|punto|point"
-_LAST = frozenset("com org net edu gov mil int info biz io co ai dev app me tv us uk de fr es it nl eu ch at be ca au in jp cn br ru pl se no dk fi example test invalid local".split())
+_LAST = frozenset("com org net edu gov mil int info biz io co ai dev app me tv eu uk name pro online site shop store xyz club tech cloud email example test invalid local".split())
+_LAST |= frozenset(  # of countries
+    """ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz
+    de dj dk dm do dz ec ee eg er es et fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp
+    ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz
+    om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz
+    ua ug us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw""".split()
+)
 
 _DIGIT_WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _ELEMENT = rf"(?:(?:{'|'.join(_TIMES)})[\s,-]+)?(?:{_DIGIT_WORD})"
-_SPELLED = re.compile(rf"\b(?:plus[\s,-]+)?{_ELEMENT}(?:[\s,.-]+(?:(?:{_DOT_WORDS})[\s,-]+)?{_ELEMENT})+\b")
+_SPELLED = re.compile(rf"\b(?:plus[\s,-]+)?{_ELEMENT}(?:[\s,.-]+(?:(?:{_DOT_WORDS})[\s,-]+)?{_ELEMENT})*\b")
 _PART = re.compile(rf"plus|{_DOT_WORDS}|{'|'.join(_TIMES)}|{_DIGIT_WORD}")
 _BRACKET_AT = rf"[ \t]*[\[({{<][ \t]*(?:{_AT_WORDS}|@)[ \t]*[\])}}>][ \t]*"
 _BRACKET_DOT = rf"[ \t]*[\[({{<][ \t]*(?:{_DOT_WORDS}|\.)[ \t]*[\])}}>][ \t]*"
@@ -116,8 +124,10 @@ _RIGHT = re.compile(rf"[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+")
 _LEFT = re.compile(rf"(?:[a-z0-9_%+-]+(?:{_BRACKET_DOT}|[ \t]+(?:dot|punkt|punto)[ \t]+))*[a-z0-9._%+-]+\Z")
 _ANY_DOT = re.compile(_DOT)
 _DOT_WORD = re.compile(rf"[ \t](?:{_DOT_WORDS})[ \t]")
-#: Characters before an at sign within which its local part is looked for.
-_LOCAL_REACH = 200
+#: Figures right before or after a short spelled run.
+_FIGURE_BEFORE, _FIGURE_AFTER = re.compile(rf"[0-9]([\s,-]+(?:{_DOT_WORDS})[\s,-]+|[\s,.-]{{1,3}})\Z"), re.compile(r"[\s,.-]{1,3}[0-9]")
+#: Characters before an at sign within which its local part is looked for first, and those that a disguised dot takes.
+_LOCAL_REACH, _DOT_REACH = 200, 20
 
 
 def _plain(c: str) -> str:
@@ -174,25 +184,42 @@ def character_pieces(text: str) -> list[Piece]:
     return [(m.start(), m.end(), p) for m in _ODD.finditer(text) if (p := _plain(m[0])) != m[0]]
 
 
-def digit_pieces(low: str) -> list[Piece]:
-    pieces: list[Piece] = []
+def digit_pieces(low: str) -> tuple[list[Piece], list[Piece]]:
+    """Pieces of runs of three or more spelled digits, and of shorter runs beside figures."""
+    pieces: tuple[list[Piece], list[Piece]] = [], []
     for run in _SPELLED.finditer(low):
         parts = [(run.start() + m.start(), run.start() + m.end(), m[0]) for m in _PART.finditer(run[0])]
-        if sum(w in _DIGITS for *_, w in parts) < 3:
-            continue
-        at, times = run.start(), 1
+        short, at, times = sum(w in _DIGITS for *_, w in parts) < 3, run.start(), 1
+        if short:
+            before = _FIGURE_BEFORE.search(low, max(0, at - _DOT_REACH), at)
+            if not before and not _FIGURE_AFTER.match(low, run.end()):
+                continue
+            if before and before[1].strip(" \t\n,.-"):
+                pieces[1].append((before.start(1), at, "."))
+        to = pieces[short]
         for start, end, word in parts:
             if word in _TIMES:
                 times = _TIMES[word]
                 continue
             new = "+" if word == "plus" else _DIGITS[word] * times if word in _DIGITS else "."
-            pieces.append((at, end, new) if times > 1 else (start, end, new))
+            to.append((at, end, new) if times > 1 else (start, end, new))
             if start > at and times == 1:
-                pieces.insert(-1, (at, start, ""))
+                to.insert(-1, (at, start, ""))
             at, times = end, 1
     return pieces
 
 
+def local_part(low: str, done: int, end: int) -> re.Match | None:
+    """The local part that ends at ``end``: looked for further back while it fills what was looked at."""
+    reach = _LOCAL_REACH
+    while True:
+        begin = max(done, end - reach)
+        left = _LEFT.search(low[begin:end])
+        if not left or begin == done or left.start() > _DOT_REACH:
+            return left
+        reach *= 2
+
+
 def mail_pieces(low: str) -> list[Piece]:
     pieces: list[Piece] = []
     done = 0
@@ -200,28 +227,31 @@ def mail_pieces(low: str) -> list[Piece]:
         if m.start() < done:
             continue
         right = _RIGHT.match(low, m.end())
-        left = _LEFT.search(low[max(done, m.start() - _LOCAL_REACH) : m.start()])
+        left = right and local_part(low, done, m.start())
         if not right or not left:
             continue
         from_ = m.start() - len(left[0])
-        dots = [d for d in _ANY_DOT.finditer(low, m.end(), right.end())]
+        to, dots = right.end(), [d for d in _ANY_DOT.finditer(low, m.end(), right.end())]
         dots_left = [d for d in _ANY_DOT.finditer(low, from_, m.start()) if d[0] != "."]
-        masked_dots = [d for d in dots if d[0] != "."]
         mark = m[0].strip(" \t")
-        last = low[dots[-1].end() : right.end()] if dots else ""
+        bare = lambda d: d[0] != "." and d[0].strip(" \t")[0] not in "[({<"
+        while mark[0] not in "[({<" and dots and bare(dots[-1]) and low[dots[-1].end() : to] not in _LAST:
+            to = dots.pop().start()  # a bare sign before what is no last label ends the address
+        masked_dots = [d for d in dots if d[0] != "."]
+        last = low[dots[-1].end() : to] if dots else ""
         if mark == "@" and not masked_dots and not dots_left and m[0] == "@":
             continue  # plain
         if mark == "@" and m[0] != "@" and not (m[0][0] in " \t" and m[0][-1] in " \t"):
             continue  # a space on one side alone is a mention or a list
         if mark[0] not in "[({<@" and not (masked_dots and last in _LAST):
             continue
-        if mark == "@" and masked_dots and last not in _LAST:
+        if not dots or mark == "@" and last not in _LAST and any(map(bare, masked_dots)):
             continue
         pieces += [(d.start(), d.end(), ".") for d in dots_left]
         if m[0] != "@":
             pieces.append((m.start(), m.end(), "@"))
         pieces += [(d.start(), d.end(), ".") for d in masked_dots]
-        done = right.end()
+        done = to
     return pieces
 
 
@@ -235,14 +265,21 @@ def find_disguised(text: str, base: list[list[Span]]) -> list[tuple[int, int, in
     first = Rewriter(text, odd) if odd else None
     plain = first.text if first else text
     low = plain.replace("İ", "I").lower()
-    words = sorted(mail_pieces(low) + digit_pieces(low))
+    mails, (digits, short) = mail_pieces(low), digit_pieces(low)
+    out = _mapped(text, first, plain, mails + digits, base) if odd or mails or digits else []
+    if short:  # figures with a few spelled digits: only what neither the plain patterns nor longer runs have a part of
+        known = [sorted([*spans, *((a, b) for a, b, k in out if k == kind)]) for kind, spans in enumerate(base)]
+        out += [(a, b, k) for a, b, k in _mapped(text, first, plain, mails + digits + short, base) if not any(x < b and a < y for x, y in known[k])]
+    return out
+
+
+def _mapped(text: str, first: Rewriter | None, plain: str, pieces: list[Piece], base: list[list[Span]]) -> list[tuple[int, int, int]]:
+    """What the detectors find in the rewritten text, under a disguise and not within a base span of its kind."""
     kept, at = [], 0
-    for p in words:  # the two kinds rarely meet; the earlier piece wins
+    for p in sorted(pieces):  # the two kinds rarely meet; the earlier piece wins
         if p[0] >= at:
             kept.append(p)
             at = p[1]
-    if not odd and not kept:
-        return []
     second = Rewriter(plain, kept)
     out = []
     for kind, find in enumerate(DETECTORS):

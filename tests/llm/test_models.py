@@ -80,6 +80,28 @@ def test_fragments_keep_their_span_and_the_whole_is_added(text, spans):
     assert sha == hashlib.sha256(pii.joined([(a, b, k) for k, s in enumerate(pii.find_base(text)) for a, b in s]).encode()).hexdigest()
 
 
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("jane@mail[.]example[.]pt", "email:0:24"),
+        ("jane@mail[.]example[.]zzz . Then", "email:0:25"),
+        ("jane arroba mail punto mx", "email:0:25"),
+        ("jane at mail dot example dot com . Then", "email:0:32"),
+        ("4111 1111 1111 11 one one", "card:0:25"),
+        ("four one 11 1111 1111 1111", "card:0:26"),
+        ("192.168.0 dot one", "ip:0:17"),
+        ("plus four nine 170 1234567", "phone:0:26"),
+        ("x" * 250 + " [dot] doe@ex[.]com", "email:0:269"),
+        ("4111 1111 1111 1111 one", "card:0:19"),
+        ("+49 170 1234567 two times", "phone:0:15"),
+        ("in 2019 one man", ""),
+        ("jane@mail . example.zzz", ""),
+    ],
+)
+def test_sure_disguises_pass_without_a_list(text, spans):
+    assert pii.inspect(text)[2] == spans
+
+
 @pytest.mark.parametrize("text", ["look at the dot matrix", "meet me at example.com", "one two three go", "we are at home. Next", "(at) noon", "a man @ home", "Привет, мир. Как дела", "at at at dot dot", "see [1] and (2)", "sept huit neuf"])
 def test_plain_talk_is_left_alone(text):
     assert pii.inspect(text)[2] == ""
