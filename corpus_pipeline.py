@@ -1,7 +1,8 @@
 """A corpus from raw documents to packed sequences, in five written stages.
 
 Each stage reads what its predecessor wrote. Near duplicates are judged on shingles of five
-words at a similarity of 0.8; a contaminated document goes as a whole.
+words at a similarity of 0.8; hit words are cut out of a contaminated document, which goes as a whole
+where they are over a fifth of it.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+    return decontamination.remove_spans(docs, read(spark, sf_dir, "benchmark"), coverage=0.2)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

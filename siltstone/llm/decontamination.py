@@ -19,6 +19,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,6 +199,53 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, longest: int = 10, co
     return docs.join(cut(over.select("doc_id").distinct(), "contaminated"), "doc_id", "left_anti").select(*docs.columns)
 
 
+def remove_spans(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.2, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
+    """docs, all columns, row by row: hit words are cut out of the text, each run of them with the
+    signs between giving way to one space; rows with hits over more than ``coverage`` of their words
+    are dropped. n_chars, where it is a column, is counted anew in rows that were cut."""
+    spark = docs.sparkSession
+    prepare(spark)
+    sent = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, block_words)]
+    names, schema = docs.columns, docs.schema
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory("decontamination")
+        single = Automaton([(n, words(d)) for n, d in sent[0].value], window) if len(sent) == 1 else None
+        for batch in batches:
+            datas = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            texts, hit = [words(d) for d in datas], {}
+            for b in sent:
+                automaton = single or Automaton([(n, words(d)) for n, d in b.value], window)
+                for k, text in enumerate(texts):
+                    for first, last, *_ in automaton.scan(text):
+                        hit.setdefault(k, np.zeros(len(text), bool))[first : last + 1] = True
+            if not hit:
+                yield batch
+                continue
+            kept = [k for k in range(len(texts)) if k not in hit or hit[k].sum() <= coverage * len(texts[k])]
+            rest = {k: without(datas[k], hit[k]) for k in kept if k in hit}
+            out = batch.take(pa.array(kept, pa.int64()))
+            for name, count in (("text", lambda t: t), ("n_chars", len)):
+                if name in names:
+                    old = out.column(name)
+                    new = [count(rest[k]) if k in rest else x for k, x in zip(kept, old.to_pylist())]
+                    out = out.set_column(names.index(name), name, pa.array(new, old.type))
+            yield out
+
+    return docs.mapInArrow(look, schema)
+
+
+def without(data: bytes, hit: np.ndarray) -> str:
+    """The text without its hit words."""
+    places = [m.span() for m in re.finditer(rb"[^ ]+", data.lower().translate(_PARTS))]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))).tolist()
+    parts, at = [], 0
+    for a, z in zip(edges[::2], edges[1::2]):
+        parts.append(data[at : places[a][0]])
+        at = places[z - 1][1]
+    return b" ".join([*parts, data[at:]]).decode()
+
+
 SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
