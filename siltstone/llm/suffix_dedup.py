@@ -8,8 +8,10 @@ whole and one of them stands for all. What remains, different stretches of one h
 shards by the hash, and each shard is sorted by external induced sorting with common prefixes:
 strings whose neighbour shares ``length`` bytes are repeats.
 
-A hash with more bytes than half a shard is salted over several; a string that its own shard
-shows once is then compared over the salts by digests, at most one a salt for each string.
+A hash with more bytes than half a shard is parted further: its different stretches are cut anew by
+the least hash of longer substrings, up to whole strings, until each fits. Strings that differ from
+all others near the common substring fall out at each step; a whole string has one stretch at most
+a length of its run, so that the last step always fits. Queues hold ``memory`` entries and go to disk beyond.
 
 Defined cases: a null text is the empty text; texts under ``length`` bytes keep all; equal texts
 count as occurrences of each other, also under one doc_id; overlapping repeats count; an empty
@@ -30,9 +32,11 @@ from .common import cut, id_bytes, prepare
 from .induced_sort import sorted_suffixes
 
 ANCHOR = 64
-#: Strings in a stretch at most (long runs of one hash are parted), bytes of a shard.
-STRETCH, SHARD_BYTES = 512, 4 << 20
-FOUND = "doc_id long, sha string, n_bytes long, keys array<long>, firsts array<int>, counts array<int>, inners array<boolean>, digests array<binary>"
+#: Strings in a stretch at most (long runs of one hash are parted), bytes of a shard, entries of a queue in memory.
+STRETCH, SHARD_BYTES, MEMORY = 512, 4 << 20, 1 << 23
+LISTS = "keys array<long>, firsts array<int>, counts array<int>, inners array<boolean>, digests array<binary>"
+FOUND = f"doc_id long, sha string, n_bytes long, {LISTS}"
+ANEW = f"pkey long, pdigest binary, sha string, pat int, {LISTS}"
 _SYMBOL = np.random.default_rng(400).integers(0, 1 << 63, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -78,25 +82,45 @@ def stretches(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, n
     return keys, starts, counts, inner
 
 
+def anchors(length: int) -> list[int]:
+    """Lengths of the substrings whose least hash keys a string, the first for all and the others for hot keys."""
+    return sorted({min(ANCHOR, max(1, length // 4)), length // 2 or 1, length * 4 // 5 or 1, length * 19 // 20 or 1, length})
+
+
+def stretch_lists(texts: list[bytes], length: int, anchor: int) -> dict[str, pa.Array]:
+    """The stretches of each text as the columns of LISTS."""
+    keys, firsts, counts, inners, digests = [], [], [], [], []
+    for raw in texts:
+        k, f, c, i = stretches(np.frombuffer(raw, np.uint8), length, anchor)
+        keys.append(k.view(np.int64))
+        firsts.append(f.astype(np.int32))
+        counts.append(c.astype(np.int32))
+        inners.append(i)
+        digests.append([hashlib.blake2b(raw[a : a + n + length - 1], digest_size=16).digest() for a, n in zip(f.tolist(), c.tolist())])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    return {name: pa.array(x, pa.list_(kind)) for name, x, kind in zip(("keys", "firsts", "counts", "inners", "digests"), (keys, firsts, counts, inners, digests), kinds)}
+
+
 def find_stretches(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shas, sizes, keys, firsts, counts, inners, digests = [], [], [], [], [], [], []
-            for raw in batch.column(1).to_pylist():
-                k, f, c, i = stretches(np.frombuffer(raw, np.uint8), length, anchor)
-                shas.append(hashlib.sha256(raw).hexdigest())
-                sizes.append(len(raw))
-                keys.append(k.view(np.int64))
-                firsts.append(f.astype(np.int32))
-                counts.append(c.astype(np.int32))
-                inners.append(i)
-                digests.append([hashlib.blake2b(raw[a : a + n + length - 1], digest_size=16).digest() for a, n in zip(f.tolist(), c.tolist())])
-            lists = {"keys": pa.array(keys, pa.list_(pa.int64())), "firsts": pa.array(firsts, pa.list_(pa.int32())), "counts": pa.array(counts, pa.list_(pa.int32())), "inners": pa.array(inners, pa.list_(pa.bool_())), "digests": pa.array(digests, pa.list_(pa.binary()))}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "sha": pa.array(shas, pa.string()), "n_bytes": pa.array(sizes, pa.int64()), **lists})
+            texts = batch.column(1).to_pylist()
+            shas = pa.array([hashlib.sha256(raw).hexdigest() for raw in texts], pa.string())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "sha": shas, "n_bytes": pa.array([len(raw) for raw in texts], pa.int64()), **stretch_lists(texts, length, anchor)})
 
     return id_bytes(docs).mapInArrow(look, FOUND)
 
 
+def flat_stretches(rows: DataFrame, *carried: str) -> DataFrame:
+    zipped = rows.select(*carried, F.explode(F.arrays_zip("keys", "firsts", "counts", "inners", "digests")).alias("s"))
+    return zipped.select(*carried, F.col("s.keys").alias("key"), F.col("s.firsts").alias("at"), F.col("s.counts").alias("n"), F.col("s.inners").alias("inner"), F.col("s.digests").alias("digest"))
+
+
+def of_repeated_keys(flat: DataFrame) -> DataFrame:
+    twice = flat.groupBy("key").agg(F.count("*").alias("m"), F.max("inner").alias("inner")).where("m > 1 or inner").select("key")
+    return flat.join(twice, "key")
+
+
 def runs(places: np.ndarray) -> list[tuple[int, int]]:
     """(first, last) of maximal runs of rising whole numbers."""
     if not len(places):
@@ -106,8 +130,8 @@ def runs(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[starts].tolist(), places[ends].tolist()))
 
 
-def repeats_in_shard(texts: list[bytes], length: int, memory: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, string number) of each repeat, and of one string of each class, in one shard."""
+def repeats_in_shard(texts: list[bytes], length: int, memory: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, string number) of each repeat in one shard."""
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.concatenate(([0], np.cumsum(sizes + 1)))
     text = np.zeros(int(begins[-1]), np.uint16)  # 0 parts the texts
@@ -116,82 +140,89 @@ def repeats_in_shard(texts: list[bytes], length: int, memory: int) -> tuple[np.n
     fits = np.zeros(len(text), bool)
     for a, n in zip(begins.tolist(), sizes.tolist()):
         fits[a : a + max(0, n - length + 1)] = True
-    repeat, one = np.zeros(len(text), bool), np.zeros(len(text), bool)
+    repeat = np.zeros(len(text), bool)
     before = -1
     for pos, lcp in sorted_suffixes(text, 257, memory, length):
         near = np.concatenate(([before], pos[:-1]))
-        ok = fits[pos]
-        same = ok & (lcp >= length) & (near >= 0) & fits[near]
+        same = fits[pos] & (lcp >= length) & (near >= 0) & fits[near]
         repeat[pos[same]] = True
         repeat[near[same]] = True
-        one[pos[ok & ~same]] = True
         before = int(pos[-1]) if len(pos) else before
-    out = []
-    for mask in (repeat, one):
-        at = np.flatnonzero(mask)
-        number = np.searchsorted(begins, at, "right") - 1
-        out += [number, at - begins[number]]
-    return tuple(out)
+    at = np.flatnonzero(repeat)
+    number = np.searchsorted(begins, at, "right") - 1
+    return number, at - begins[number]
 
 
 def sort_shards(parts: DataFrame, length: int, memory: int) -> DataFrame:
-    """(key, digest, first, last, probe): runs of repeated strings; probes of salted keys."""
+    """(key, digest, first, last): runs of strings that occur twice in their shard."""
 
     def sort(table: pa.Table) -> pa.Table:
-        texts, salted = table["data"].to_pylist(), table["salted"].to_pylist()
         keys, digests = table["key"].to_pylist(), table["digest"].to_pylist()
-        number, place, one_number, one_place = repeats_in_shard(texts, length, memory)
+        number, place = repeats_in_shard(table["data"].to_pylist(), length, memory)
         rows = []
-        edges = np.searchsorted(number, np.arange(len(texts) + 1))
+        edges = np.searchsorted(number, np.arange(len(keys) + 1))
         for i in np.unique(number).tolist():
-            rows += [(keys[i], digests[i], a, b, None) for a, b in runs(place[edges[i] : edges[i + 1]])]
-        if any(salted):
-            for i, a in zip(one_number.tolist(), one_place.tolist()):
-                if salted[i]:
-                    rows.append((keys[i], digests[i], a, a, hashlib.blake2b(texts[i][a : a + length], digest_size=16).digest()))
-        columns = list(zip(*rows)) or [()] * 5
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "digest", "first", "last", "probe"])
+            rows += [(keys[i], digests[i], a, b) for a, b in runs(place[edges[i] : edges[i + 1]])]
+        columns = list(zip(*rows)) or [()] * 4
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "digest", "first", "last"])
+
+    return parts.groupBy("shard").applyInArrow(sort, "key long, digest binary, first int, last int")
+
 
-    return parts.groupBy("shard").applyInArrow(sort, "key long, digest binary, first int, last int, probe binary")
+def cut_anew(groups: DataFrame, texts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Stretches of stretches, keyed by a longer anchor under the key they come from; pat: their place in it."""
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = dict(zip(("pkey", "pdigest", "sha", "pat"), batch.columns))
+            yield pa.RecordBatch.from_pydict(own | stretch_lists(batch.column(4).to_pylist(), length, anchor))
+
+    parts = groups.select("key", "digest", F.col("rep.sha").alias("sha"), F.col("rep.at").alias("at"), F.col("rep.n").alias("n")).join(texts, "sha")
+    data = F.substring("data", F.col("at") + 1, F.col("n") + (length - 1)).alias("data")
+    again = cut(parts.select("key", "digest", "sha", "at", data).mapInArrow(look, ANEW), "anew")
+    return flat_stretches(again, "pkey", "pdigest", "sha", "pat").withColumn("key", F.xxhash64("pkey", "key"))
+
+
+def repeated_runs(found: DataFrame, texts: DataFrame, length: int, steps: list[int], shard_bytes: int, memory: int) -> DataFrame:
+    """(key, digest, first, last): runs of strings, by place in their stretch, that occur twice among the
+    stretches (key, digest, sha, at, n, inner) of found. steps: the anchors, the first of which keys found."""
+    groups = found.groupBy("key", "digest").agg(F.count("*").alias("m"), F.max("inner").alias("inner"), F.min(F.struct("sha", "at", "n")).alias("rep"))
+    groups = cut(groups, "groups")
+    sizes = groups.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("rep.n") + length).alias("size"), F.max("inner").alias("inner")).where("kinds > 1 or inner").drop("inner", "kinds")
+    fits = (F.col("size") * 2 <= shard_bytes) if len(steps) > 1 else F.lit(True)
+    total, hot = sizes.agg(F.sum(F.when(fits, F.col("size"))), F.count(F.when(~fits, 1))).first()
+    shards = max(1, -(-(total or 0) // shard_bytes))
+    dealt = groups.join(sizes.where(fits).select("key"), "key").select(
+        "key", "digest", F.col("rep.sha").alias("sha"), F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    )
+    parts = dealt.join(texts, "sha").select("shard", "key", "digest", F.substring("data", F.col("at") + 1, F.col("n") + (length - 1)).alias("data"))
+    out = cut(sort_shards(parts, length, memory), "sorted")
+    out = out.unionByName(groups.where("m > 1").select("key", "digest", F.lit(0).alias("first"), (F.col("rep.n") - 1).alias("last")))
+    if hot:
+        # what m copies share is settled above; here the different stretches are held against each other
+        anew = cut_anew(groups.join(sizes.where(~fits).select("key"), "key", "left_semi"), texts, length, steps[1])
+        again = cut(of_repeated_keys(anew).withColumn("within", F.col("at")).withColumn("at", F.col("pat") + F.col("at")), "hot")
+        deeper = again.join(repeated_runs(again, texts, length, steps[1:], shard_bytes, memory), ["key", "digest"])
+        out = out.unionByName(deeper.select(F.col("pkey").alias("key"), F.col("pdigest").alias("digest"), (F.col("within") + F.col("first")).alias("first"), (F.col("within") + F.col("last")).alias("last")))
+    return out
 
-def repeated_strings(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES, memory: int = 1 << 23) -> DataFrame:
+
+def repeated_strings(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY) -> DataFrame:
     """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     prepare(docs.sparkSession)
-    anchor = min(ANCHOR, max(1, length // 4))
-    every = cut(find_stretches(docs, length, anchor), "stretches")
+    steps = anchors(length)
+    every = cut(find_stretches(docs, length, steps[0]), "stretches")
     # equal texts: one stands for all
     copies = cut(every.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "texts")
     rows = every.join(copies, "sha", "left")
     alone = rows.where("rep is null or doc_id <=> rep")
-    zipped = alone.select("doc_id", "sha", F.explode(F.arrays_zip("keys", "firsts", "counts", "inners", "digests")).alias("s"))
-    flat = zipped.select("doc_id", "sha", F.col("s.keys").alias("key"), F.col("s.firsts").alias("at"), F.col("s.counts").alias("n"), F.col("s.inners").alias("inner"), F.col("s.digests").alias("digest"))
-    twice = flat.groupBy("key").agg(F.count("*").alias("m"), F.max("inner").alias("inner")).where("m > 1 or inner").select("key")
-    found = cut(flat.join(twice, "key"), "repeated")
-    groups = found.groupBy("key", "digest").agg(F.count("*").alias("m"), F.max("inner").alias("inner"), F.min(F.struct("doc_id", "sha", "at", "n")).alias("rep"))
-    groups = cut(groups, "groups")
-    sizes = groups.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("rep.n") + length).alias("size"), F.max("inner").alias("inner")).where("kinds > 1 or inner").drop("inner")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    salts = F.ceil(F.col("size") * 2 / shard_bytes).cast("long")
-    dealt = groups.join(sizes.withColumn("salts", salts), "key").select(
-        "key", "digest", F.col("rep.sha").alias("sha"), F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), (F.col("salts") > 1).alias("salted"),
-        F.when(F.col("salts") > 1, F.concat_ws(":", "key", F.pmod(F.xxhash64("digest"), "salts"))).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("string")).alias("shard"),
-    )
+    found = cut(of_repeated_keys(flat_stretches(alone, "sha")), "repeated")
     # the texts that any of this concerns, once
     wanted = found.select("sha").distinct()
     own = id_bytes(docs).withColumn("sha", F.sha2("data", 256))
     texts = cut(own.join(alone.select("doc_id", "sha").join(wanted, "sha", "left_semi"), ["doc_id", "sha"], "left_semi").dropDuplicates(["sha"]).select("sha", "data"), "texts")
-    parts = dealt.join(texts, "sha").select("shard", "salted", "key", "digest", F.substring("data", F.col("at") + 1, F.col("n") + (length - 1)).alias("data"))
-    sorted_ = cut(sort_shards(parts, length, memory), "sorted")
-    probes = sorted_.where("probe is not null")
-    met = probes.groupBy("probe").agg(F.count("*").alias("m")).where("m > 1").select("probe")
-    marks = (
-        sorted_.where("probe is null").select("key", "digest", "first", "last")
-        .unionByName(probes.join(met, "probe").select("key", "digest", "first", "last"))
-        .unionByName(groups.where("m > 1").select("key", "digest", F.lit(0).alias("first"), (F.col("rep.n") - 1).alias("last")))
-    )
+    marks = repeated_runs(found, texts, length, steps, shard_bytes, memory)
     spans = found.join(marks, ["key", "digest"]).groupBy("sha").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("last") + length).alias("b"))).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

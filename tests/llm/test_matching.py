@@ -1,6 +1,7 @@
 """Suffix dedup, decontamination and MinHash against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -52,6 +53,18 @@ def test_suffix_dedup_of_real_texts(spark):
     assert Counter(map(tuple, suffix_dedup.repeated_strings(docs).collect())) == Counter(removal(rows, 400))
 
 
+@pytest.mark.parametrize("shard", [4 << 20, 20_000, 3_000])
+def test_suffix_dedup_of_hot_passages(spark, shard):
+    """Passages below and above the length, each in many different surroundings, and a periodic text."""
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    below, above, common = text(300), text(650), text(70)
+    rows = [(i, text(r.randint(0, 300)) + [below, above, common, below + above][i % 4] + text(r.randint(0, 300))) for i in range(80)]
+    rows += [(80, "ab" * 900), (81, "ab" * 300 + text(50)), (82, below + "x" + above), (83, above[:401]), (84, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, suffix_dedup.repeated_strings(docs, 400, shard).collect())) == Counter(removal(rows, 400))
+
+
 def test_suffix_dedup_of_nothing(no_docs):
     assert suffix_dedup.repeated_strings(no_docs).count() == 0
 
