@@ -5,7 +5,7 @@ recursion on the string of their names; all others follow by induction: reading
 order, each one decides where the suffix one place before it goes. What is induced waits in a
 priority queue by (first symbol, rank of its cause) that carries (position, common prefix with
 the entry before it); as causes come in rank order, the queue is a run of appended blocks for
-each symbol, held in memory up to ``memory`` entries and on disk beyond that. Common prefixes are
+each symbol, held in memory up to a quarter of ``memory`` entries (four queues live at once) and on disk beyond that. Common prefixes are
 induced too: one more than the least between two causes.
 
 Recursion stays on disk until the string of names has at most ``memory`` symbols, which is then
@@ -153,9 +153,9 @@ class Inducer:
         used = np.flatnonzero(np.bincount(self.text, minlength=self.symbols)) if self.symbols <= 1 << 20 else np.unique(self.text)
         firsts = self.text[stars]
         starts, ends = np.searchsorted(firsts, used, "left"), np.searchsorted(firsts, used, "right")
-        queue = SymbolQueue(self.folder, self.symbols, self.memory)
-        larges = SymbolQueue(self.folder, self.symbols, self.memory)
-        smalls = SymbolQueue(self.folder, self.symbols, self.memory)
+        queue = SymbolQueue(self.folder, self.symbols, self.memory // 4)
+        larges = SymbolQueue(self.folder, self.symbols, self.memory // 4)
+        smalls = SymbolQueue(self.folder, self.symbols, self.memory // 4)
         try:
             least = np.full(self.symbols, self.depth, np.int32)
             if n:  # the empty suffix, before all others, causes the last
@@ -178,7 +178,7 @@ class Inducer:
                     self._cause(queue, least, stars[a:b], lcp, False)
             least[:] = self.depth
             seams: dict[int, int] = {}
-            back = SymbolQueue(self.folder, self.symbols, self.memory)
+            back = SymbolQueue(self.folder, self.symbols, self.memory // 4)
             try:
                 for symbol in used.tolist()[::-1]:
                     last = None

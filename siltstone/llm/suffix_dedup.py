@@ -33,7 +33,7 @@ from .induced_sort import sorted_suffixes
 
 ANCHOR = 64
 #: Strings in a stretch at most (long runs of one hash are parted), bytes of a shard, entries of a queue in memory.
-STRETCH, SHARD_BYTES, MEMORY = 512, 4 << 20, 1 << 23
+STRETCH, SHARD_BYTES, MEMORY = 512, 4 << 20, 1 << 21
 LISTS = "keys array<long>, firsts array<int>, counts array<int>, inners array<boolean>, digests array<binary>"
 FOUND = f"doc_id long, sha string, n_bytes long, {LISTS}"
 ANEW = f"pkey long, pdigest binary, sha string, pat int, {LISTS}"

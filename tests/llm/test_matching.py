@@ -10,7 +10,7 @@ import pytest
 
 from siltstone.llm import decontamination, minhash, suffix_dedup
 from siltstone.llm.components import connected_components
-from siltstone.llm.induced_sort import sorted_suffixes
+from siltstone.llm.induced_sort import SymbolQueue, sorted_suffixes
 
 from .conftest import table
 
@@ -65,6 +65,17 @@ def test_suffix_dedup_of_hot_passages(spark, shard):
     assert Counter(map(tuple, suffix_dedup.repeated_strings(docs, 400, shard).collect())) == Counter(removal(rows, 400))
 
 
+def test_queues_of_a_whole_shard_go_to_disk(monkeypatch):
+    spilled, spill = [], SymbolQueue._spill
+    monkeypatch.setattr(SymbolQueue, "_spill", lambda self: (spilled.append(self.held), spill(self)))
+    draw = np.random.default_rng(4)
+    part = draw.integers(97, 123, 3000).astype(np.uint8).tobytes()
+    texts = [draw.integers(97, 123, 39_999).astype(np.uint8).tobytes() + bytes([1 + i]) + part for i in range(95)]
+    number, place = suffix_dedup.repeats_in_shard(texts, 400, suffix_dedup.MEMORY)
+    assert spilled and max(spilled) < suffix_dedup.MEMORY
+    assert sorted(zip(number.tolist(), place.tolist())) == [(i, 40_000 + k) for i in range(95) for k in range(2601)]
+
+
 def test_suffix_dedup_of_nothing(no_docs):
     assert suffix_dedup.repeated_strings(no_docs).count() == 0
 
