@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; whole texts travel in them, so it is kept far below Spark's default.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch; whole texts travel in them, so both are kept far below Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +25,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Session settings that bound what one Arrow batch of whole texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,9 +76,28 @@ _HELD: dict[str, Callable[[], None]] = {}
 def hold_memory(owner: str, release: Callable[[], None] | None = None) -> None:
     """Called where a task begins: a Python worker serves many stages, and what earlier ones cached is let go.
 
-    release: frees what this owner keeps from task to task.
+    release: frees what this owner keeps from task to task. What is freed goes back to the system.
     """
-    for other in [o for o in _HELD if o != owner]:
-        _HELD.pop(other)()
+    freed = [_HELD.pop(other) for other in [o for o in _HELD if o != owner]]
+    for free in freed:
+        free()
+    if freed:
+        give_back()
     if release is not None:
         _HELD[owner] = release
+
+
+def give_back() -> None:
+    """Hands what Python, Arrow and the C library keep for later back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def byte_views(column: pa.Array, kind: type = np.uint64) -> list[np.ndarray]:
+    """The values of a binary column as arrays over Arrow's own memory, without a copy."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return [whole[a:b].view(kind) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]

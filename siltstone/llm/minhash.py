@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hold_memory, id_bytes, prepare
+from .common import byte_views, cut, hold_memory, id_bytes, prepare
 from .components import connected_components
 
 ROWS, BANDS, BITS = 5, 40, 2
@@ -196,10 +196,10 @@ def shared_shingles(pairs: DataFrame, sets: DataFrame, threshold: float) -> Data
     whole = round(threshold * 100)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory("confirm")
         for batch in batches:
-            u, v, a, b = (batch.column(i).to_pylist() for i in range(4))
-            keep = [i for i, (x, y) in enumerate(zip(a, b)) if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), whole)]
-            yield pa.RecordBatch.from_pydict({"u": pa.array([u[i] for i in keep], pa.int64()), "v": pa.array([v[i] for i in keep], pa.int64())})
+            keep = pa.array([similar(x, y, whole) for x, y in zip(byte_views(batch.column(2)), byte_views(batch.column(3)))], pa.bool_())
+            yield batch.select([0, 1]).filter(keep)
 
     with_v = pairs.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("hv")), "v")
     with_u = with_v.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("hu")), "u")
@@ -262,9 +262,10 @@ def block_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     )
 
     def compare(table: pa.Table) -> pa.Table:
+        hold_memory("confirm")
         node, comp, side = (table[c].to_numpy() for c in ("node", "comp", "side"))
         lanes = np.array(table["packed"].to_pylist(), np.int64).view(np.uint64)
-        found = spanning_links(node, comp, side, lanes, [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()], threshold)
+        found = spanning_links(node, comp, side, lanes, [x for c in table["hashes"].chunks for x in byte_views(c)], threshold)
         return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
     return units.groupBy("unit").applyInArrow(compare, "u long, v long").distinct()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hold_memory, id_bytes, prepare
+from .common import byte_views, cut, give_back, hold_memory, id_bytes, prepare
 from .decontamination import words
 
 HASH_BITS, SELECTED, FACTORS = 20, 4096, 8
@@ -127,7 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     rows = id_bytes(docs).join(F.broadcast(drawn), "doc_id").mapInArrow(inputs, "doc_id long, toxic int, terms binary")
     table = rows.toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
-    return train([np.frombuffer(t, np.int32) for t in table["terms"].to_pylist()], (table["toxic"].to_numpy() > 0).astype(float))
+    give_back()  # the driver's memory is bounded, too
+    machine = train([t for c in table["terms"].chunks for t in byte_views(c, np.int32)], (table["toxic"].to_numpy() > 0).astype(float))
+    del table
+    give_back()
+    return machine
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -148,6 +152,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs, all columns, without the texts scored toxic."""
-    found = toxicity(docs, labels, sample).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(cut(found, "toxic"), "doc_id", "left_anti").select(*docs.columns)
+    """docs, all columns, row by row, without the texts scored toxic; ids decide nothing."""
+    m = fit(docs, labels, sample)
+    sent = docs.sparkSession.sparkContext.broadcast((m.chosen, m.bias, m.linear, m.factors))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory("toxicity")
+        machine = Machine(*sent.value)
+        for batch in batches:
+            keep = [machine.score((t or "").encode()) < 0.5 for t in batch.column("text").to_pylist()]
+            yield batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
