@@ -5,9 +5,11 @@
 2. Leaves: pieces are dealt to nodes of about ``node_pieces`` by a hash and packed best-fit
    decreasing; sequences filled to ``full`` of the length are emitted.
 3. Tree: underfull sequences of ``fan_in`` nodes meet, whole, as items of another best-fit round,
-   until one node is left. A node hands on its ``carry`` emptiest sequences at most; after
-   best-fit any two of the others are more than a sequence long together, so that they could only
-   take small items, and they are emitted as they are. No piece is lost at any step.
+   until one node is left. After best-fit any two sequences of a node are more than a sequence long
+   together, so that at most one a leaf is at most half full, and only such a one can still be
+   joined to another. As many partners as there are leaves are enough for all of them, and the
+   emptiest will do: a node hands on so many (``carry``, if that is more), and no union of two
+   sequences is lost by emitting the rest. No piece is lost at any step.
 
 Defined cases: a null text is the empty text and yields one piece with the end id alone; an empty
 table gives an empty result; rows that repeat a doc_id are packed each; equal lengths are ordered
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, prepare, shuffle_partitions
+from .common import cut, hold_memory, id_text, prepare, shuffle_partitions
 from .word_tokens import word_tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A sequence's number: its level, node and place in the node, each in bits of its own (64 levels, 2^33 nodes, 2^24 places).
+LEVEL_AT, NODE_AT = 57, 24
 PACKED = PIECES + ", bin long, offset long, done boolean"
 
 
@@ -76,7 +80,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return where, place
 
 
-def pack_node(rows: pd.DataFrame, node: int, capacity: int, full: float, carry: int) -> pd.DataFrame:
+def pack_node(rows: pd.DataFrame, level: int, node: int, capacity: int, full: float, carry: int) -> pd.DataFrame:
     """One best-fit round: rows of one bin move together."""
     rows = rows.sort_values(["bin", "offset", "doc_id", "piece"], kind="stable", ignore_index=True)
     items = rows.groupby("bin", sort=True)["length"].sum()
@@ -90,13 +94,14 @@ def pack_node(rows: pd.DataFrame, node: int, capacity: int, full: float, carry:
     done = filled >= full * capacity
     if (emptiest := np.argsort(filled, kind="stable")[carry:]).size:
         done[emptiest] = True
-    rows["bin"], rows["done"] = (np.int64(node) << 32) + bins, done[bins]
+    rows["bin"], rows["done"] = (np.int64(level) << LEVEL_AT) + (np.int64(node) << NODE_AT) + bins, done[bins]
     return rows
 
 
-def _packer(columns: list[str], base: int, length: int, full: float, carry: int):
+def _packer(columns: list[str], level: int, length: int, full: float, carry: int):
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pack_node(rows[columns], base + key[0], length, full, carry)
+        hold_memory("packing")
+        return pack_node(rows[columns], level, key[0], length, full, carry)
 
     return pack
 
@@ -108,23 +113,22 @@ def best_fit_packing(
     """A row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     found = cut(pieces(docs, tokenizer, end_id, length), "pieces")
     n = found.count()
-    nodes = max(1, -(-n // node_pieces))
+    nodes = leaves = max(1, -(-n // node_pieces))
     columns = [c.split()[0] for c in PACKED.split(", ")]
     # each piece is an item of its own; its number only has to differ within its node
     first = found.select("*", F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("bigint").alias("offset"), F.lit(False).alias("done"))
     first = first.withColumn("node", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(nodes)))
     emitted, level, open_rows = [], 0, first
     while True:
-        base, last = level * 1_000_000, nodes == 1
-
-        pack = _packer(columns, base, length, full, 0 if last else carry)
+        last = nodes == 1
+        pack = _packer(columns, level, length, full, 0 if last else max(carry, leaves))
         spread = open_rows.repartition(max(1, min(nodes, shuffle_partitions(docs.sparkSession))), "node")
         packed = cut(spread.groupBy("node").applyInPandas(pack, PACKED), f"packed{level}")
         emitted.append(packed.where("done"))
         if last:
             break
         nodes, level = -(-nodes // fan_in), level + 1
-        open_rows = packed.where("not done").withColumn("node", F.pmod(F.shiftright("bin", 32), F.lit(nodes)))
+        open_rows = packed.where("not done").withColumn("node", F.pmod(F.shiftright("bin", NODE_AT), F.lit(nodes)))
     out = emitted[0]
     for more in emitted[1:]:
         out = out.unionByName(more)
