@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.merge import KEYS, Concat, Counter, Latest, ListAppend, capped_lists
+from .functions.codec import big_endian, from_big_endian, little_endian
+from .functions.merge import KEYS, Concat, Counter, Custom, Latest, ListAppend, StoredList, capped_lists
 from .operators import queue, ranges, reads, resolve, snapshots
 from .operators.schema import Schema
 from .plans.scan import ScanPlan, ScanSplit
@@ -84,7 +84,7 @@ def kv_fold_counter_u32(spark, sf_dir):
 
 @query(WITH + "SELECT bucket, key, string_agg(event_type, '' ORDER BY seq) AS joined FROM live GROUP BY bucket, key")
 def kv_fold_concat(spark, sf_dir):
-    return resolve.rows(event_log(spark, sf_dir), {"joined": (0, Concat(), "event_type")}).select("bucket", "key", "joined")
+    return resolve.rows(event_log(spark, sf_dir), {"joined": (0, Concat(text=True), "event_type")}).select("bucket", "key", "joined")
 
 
 def _list(spark, sf_dir, op: ListAppend) -> DataFrame:
@@ -110,8 +110,10 @@ def kv_list_last3(spark, sf_dir):
 
 @query(WITH + f"SELECT bucket, key, array_to_string((list(props ORDER BY seq))[1:3], '|') AS items FROM live WHERE exp IS NULL OR exp > {NOW} GROUP BY bucket, key")
 def kv_list_element_ttl(spark, sf_dir):
-    live = resolve.live(event_log(spark, sf_dir)).where((F.col("exp").isNull()) | (F.col("exp") > NOW)).select(*KEYS, "seq", F.col("props").alias("v"))
-    return capped_lists(live, ListAppend(cap=3)).select("bucket", "key", F.array_join("v", "|").alias("items"))
+    """Each element has an expiry of its own; rows have none."""
+    log = event_log(spark, sf_dir).withColumn("element", F.array(F.struct(F.col("props").alias("v"), "exp")))
+    found = resolve.rows(log, {"items": (0, StoredList(cap=3, element_ttl=True).at(NOW), "element")})
+    return found.where(F.size("items") > 0).select("bucket", "key", F.array_join(F.transform("items", lambda e: e["v"]), "|").alias("items"))
 
 
 def three_columns(spark, sf_dir) -> DataFrame:
@@ -119,7 +121,7 @@ def three_columns(spark, sf_dir) -> DataFrame:
     return event_log(spark, sf_dir).withColumn("col", (F.col("seq") % 3).cast("int"))
 
 
-COLUMNS = {"total": (0, Counter(), "v"), "joined": (1, Concat(), "event_type"), "newest": (2, Latest(), "v")}
+COLUMNS = {"total": (0, Counter(), "v"), "joined": (1, Concat(text=True), "event_type"), "newest": (2, Latest(), "v")}
 THREE = """
 WITH log AS (
   SELECT event_id AS seq, CAST(user_id % 16 AS INT) AS bucket, user_id AS key, event_id % 3 AS col, event_type,
@@ -150,7 +152,8 @@ def kv_get(spark, sf_dir):
 @query(WITH + "SELECT w.pos, w.bucket, w.key, view.total FROM (VALUES (0, 3, 3), (1, 5, 5), (2, 3, 3), (3, 1, 999999937), (4, 1, 17)) w(pos, bucket, key) LEFT JOIN view ON view.key = w.key AND view.bucket = w.bucket")
 def kv_multi_get(spark, sf_dir):
     wanted = spark.createDataFrame([(0, 3, 3), (1, 5, 5), (2, 3, 3), (3, 1, 999999937), (4, 1, 17)], "pos int, bucket int, key long")
-    return reads.multi_get(kept_view(spark, sf_dir), wanted).select("pos", "bucket", F.col("key").cast("int").alias("key"), "total")
+    log = event_log(spark, sf_dir).join(wanted.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi")  # only their versions are resolved
+    return reads.multi_get(totals(log).withColumn("cf", F.lit("default")), wanted).select("pos", "bucket", F.col("key").cast("int").alias("key"), "total")
 
 
 @query(WITH + "SELECT * FROM view WHERE key >= 20 AND key < 60")
@@ -198,7 +201,10 @@ def kv_ttl_scan(spark, sf_dir):
 
 @query(WITH + "SELECT * FROM view")
 def kv_ttl_family_off(spark, sf_dir):
-    return totals(event_log(spark, sf_dir).withColumn("exp", F.lit(None).cast("bigint")), now=NOW)
+    """Expiries that were written count for nothing in a family without TTL."""
+    schema = Schema().edit().set_operator(0, "u64_counter").set_family_options(value_has_ttl=False).commit()
+    log = event_log(spark, sf_dir).withColumn("v", little_endian(F.col("v"), 8)).withColumn("schema_v", F.lit(schema.version))
+    return resolve.stored_rows(log, schema, "default", now=NOW, raw=False).select("bucket", "key", F.col("c0").cast("bigint").alias("total"))
 
 
 @query(TTL + "SELECT bucket, key, arg_max_null(exp, seq) AS exp FROM live GROUP BY bucket, key")
@@ -332,16 +338,17 @@ def kv_compact_equiv(spark, sf_dir):
 
 @query(f"SELECT event_id // 100 AS file, bool_and(event_type = 'purchase' AND event_id + 500 <= {NOW}) AS expired, max(user_id) <= 40 AS truncated FROM events GROUP BY event_id // 100")
 def kv_file_prune(spark, sf_dir):
-    log = event_log(spark, sf_dir).withColumn("file", F.floor(F.col("seq") / 100).cast("bigint"))
-    return log.groupBy("file").agg(F.bool_and(F.coalesce(F.col("exp") <= NOW, F.lit(False))).alias("expired"), (F.max("key") <= 40).alias("truncated"))
+    log = event_log(spark, sf_dir).withColumn("part", F.floor(F.col("seq") / 100).cast("bigint")).withColumn("bucket", F.lit(0))
+    lasting = F.count(F.when(F.col("exp").isNull() | (F.col("op") == "delete"), 1)).alias("lasting")
+    stats = log.groupBy("part", "bucket", "cf").agg(F.count("*").alias("rows"), lasting, F.max("exp").alias("last_exp"), F.max("key").alias("hi"))
+    cursors = spark.createDataFrame([(0, "default", 40)], "bucket int, cf string, cursor long")
+    return resolve.dead_parts(stats, NOW, cursors).select(F.col("part").alias("file"), "expired", "truncated")
 
 
 @query(WITH + "SELECT bucket, key, max(v) AS highest FROM live GROUP BY bucket, key")
 def kv_custom_operator(spark, sf_dir):
-    """A merge operator of the caller's, in pandas: the highest value."""
-
-    def highest(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "key": [rows["key"].iloc[0]], "highest": [rows["v"].max()]})
-
-    return resolve.live(event_log(spark, sf_dir)).groupBy(*KEYS).applyInPandas(highest, "bucket int, key long, highest long")
+    """A merge operator of the caller's: the highest value."""
+    highest = Custom("highest", lambda have, operand, now: max(have, operand))
+    log = event_log(spark, sf_dir).withColumn("v", big_endian(F.col("v")))
+    found = resolve.rows(log, {"highest": (0, highest, "v")})
+    return found.select("bucket", "key", from_big_endian(F.col("highest")).cast("bigint").alias("highest"))

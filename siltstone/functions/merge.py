@@ -7,25 +7,46 @@ map side or over salts, so that a key with a large share of all rows does not me
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
+from .codec import from_little_endian, list_elements, list_payload, little_endian
 
 KEYS = ("bucket", "cf", "key")
 
 
 @dataclass(frozen=True)
 class MergeOperator:
+    """What one column's versions become. Values may be typed columns or, in a stored log, bytes."""
+
     name: str
 
     def value(self, v: Column, seq: Column) -> Column:
         """The aggregate over one column's live versions; null versions are not there."""
         raise NotImplementedError
 
+    def typed(self, stored: Column) -> Column:
+        """A stored cell as what ``value`` takes."""
+        return stored
+
+    def stored(self, value: Column) -> Column:
+        """What ``value`` gives as a stored cell."""
+        return value
+
+    def at(self, now: int | None) -> MergeOperator:
+        """The operator at a time, for those that look at the clock."""
+        return self
+
+    @property
+    def foldable(self) -> bool:
+        """Whether neighbouring versions may be combined for good, whatever comes later."""
+        return True
+
 
 def ordered(v: Column, seq: Column) -> Column:
     """Versions in order of seq, as an array."""
@@ -44,13 +65,15 @@ class Latest(MergeOperator):
 
 @dataclass(frozen=True)
 class Concat(MergeOperator):
-    """Strings or bytes, joined in order of seq."""
+    """Bytes, or strings if ``text``, joined in order of seq."""
 
     name: str = "bytes"
+    text: bool = False
 
     def value(self, v: Column, seq: Column) -> Column:
         parts = ordered(v, seq)
-        return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(""), lambda a, b: F.concat(a, b.cast("string"))))
+        joined = F.array_join(parts, "") if self.text else F.unhex(F.array_join(F.transform(parts, F.hex), ""))
+        return F.when(F.size(parts) > 0, joined)
 
 
 @dataclass(frozen=True)
@@ -66,6 +89,12 @@ class Counter(MergeOperator):
         bad = (total > most) | (total < 0)
         return F.when(bad, F.raise_error(F.lit(f"{self.name} overflow")).cast("decimal(38,0)")).otherwise(total)
 
+    def typed(self, stored: Column) -> Column:
+        return from_little_endian(stored, self.bits // 8, self.name)
+
+    def stored(self, value: Column) -> Column:
+        return little_endian(value, self.bits // 8)
+
 
 @dataclass(frozen=True)
 class ListAppend(MergeOperator):
@@ -86,16 +115,110 @@ class ListAppend(MergeOperator):
         return F.when(n == 0, F.slice(a, 1, 0)).otherwise(taken)
 
 
-OPERATORS: dict[str, Callable[[], MergeOperator]] = {
-    "latest": Latest, "bytes": Concat, "u64_counter": Counter, "u32_counter": lambda: Counter("u32_counter", 32), "list": ListAppend,
-}
+@dataclass(frozen=True)
+class StoredList(MergeOperator):
+    """Lists of bytes, each operand a list: all elements in order, or the first or last ``cap`` of those alive.
+
+    With ``element_ttl`` an element carries its own expiry and is gone from then on, before the cap.
+    """
+
+    name: str = "list"
+    cap: int | None = None
+    keep: str = "first"
+    element_ttl: bool = False
+    now: int | None = None
+
+    def value(self, v: Column, seq: Column) -> Column:
+        parts = ordered(v, seq)
+        all_ = F.flatten(parts)
+        if self.element_ttl and self.now is not None:
+            all_ = F.filter(all_, lambda e: e["exp"].isNull() | (e["exp"] > self.now))
+        return F.when(F.size(parts) > 0, ListAppend(cap=self.cap, keep=self.keep).capped(all_))
+
+    def typed(self, stored: Column) -> Column:
+        return list_elements(stored, self.element_ttl)
+
+    def stored(self, value: Column) -> Column:
+        return list_payload(value, self.element_ttl)
+
+    def at(self, now: int | None) -> MergeOperator:
+        return replace(self, now=now)
+
+    @property
+    def foldable(self) -> bool:
+        return not (self.element_ttl and self.cap is not None)  # an element that dies later makes room for another
+
+
+Fold = Callable[[bytes, bytes, int | None], "bytes | tuple[bytes, str]"]
+
+
+@dataclass(frozen=True)
+class Custom(MergeOperator):
+    """An operator of the caller's: merge(existing, operand, now) gives the new value, or it and put or delete,
+    which ends what came before. Versions of a column are folded oldest first, in Arrow batches of columns."""
+
+    name: str = "custom"
+    merge: Fold | None = None
+    now: int | None = None
+
+    def value(self, v: Column, seq: Column) -> Column:
+        merge, now = self.merge, self.now
+
+        def fold(parts: pd.Series) -> pd.Series:
+            return pd.Series([folded(merge, p, now) for p in parts], dtype=object)
+
+        return F.pandas_udf(fold, "binary")(ordered(v, seq))
+
+    def at(self, now: int | None) -> MergeOperator:
+        return replace(self, now=now)
+
+    @property
+    def foldable(self) -> bool:
+        return False
+
+
+def folded(merge: Fold, parts: Iterable[bytes], now: int | None) -> bytes | None:
+    """One column's versions through a caller's merge."""
+    state: bytes | None = None
+    for part in parts:
+        found = merge(state or b"", bytes(part), now)
+        state, kind = found if isinstance(found, tuple) else (found, "put")
+        if kind not in ("put", "delete"):
+            raise InvalidInput(f"an operator may make a put or a delete, not {kind}")
+        if kind == "delete":
+            state = None
+    return state
+
+
+class Operators:
+    """Operators by id: the built-in ones and the caller's."""
+
+    def __init__(self, **own: Callable[[dict], MergeOperator]) -> None:
+        self.known: dict[str, Callable[[dict], MergeOperator]] = {
+            "latest": lambda m: Latest(), "bytes": lambda m: Concat(), "u32_counter": lambda m: Counter("u32_counter", 32), "u64_counter": lambda m: Counter(),
+            "list": lambda m: StoredList(cap=m.get("cap"), keep=m.get("keep", "first"), element_ttl=m.get("element_ttl", False)),
+        }
+        for name, make in own.items():
+            self.register(name, make)
+
+    def register(self, name: str, make: Callable[[dict], MergeOperator] | Fold) -> Operators:
+        if name in self.known:
+            raise InvalidInput(f"there is an operator {name}")
+        self.known[name] = make
+        return self
+
+    def register_merge(self, name: str, merge: Fold) -> Operators:
+        return self.register(name, lambda m: Custom(name, merge))
+
+    def resolve(self, name: str, metadata: dict | None = None) -> MergeOperator:
+        if name not in self.known:
+            raise InvalidInput(f"unknown merge operator {name}")
+        return self.known[name](metadata or {})
 
 
-def operator(name: str) -> MergeOperator:
+def operator(name: str, metadata: dict | None = None) -> MergeOperator:
     """The built-in operator with this id."""
-    if name not in OPERATORS:
-        raise InvalidInput(f"unknown merge operator {name}")
-    return OPERATORS[name]()
+    return Operators().resolve(name, metadata)
 
 
 def capped_lists(live: DataFrame, op: ListAppend, salts: int = 32, keys: tuple[str, ...] = KEYS) -> DataFrame:

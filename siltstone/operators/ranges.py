@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Conflict, InvalidInput
@@ -39,6 +41,10 @@ def subtract(ranges: list[Range], gone: list[Range]) -> list[Range]:
     return out
 
 
+def intersect(a: list[Range], b: list[Range]) -> list[Range]:
+    return normalise([(max(x, u), min(y, v)) for x, y in a for u, v in b if x <= v and u <= y])
+
+
 def covered(inner: list[Range], outer: list[Range]) -> bool:
     return not subtract(inner, outer)
 
@@ -65,12 +71,17 @@ def expand(owned: list[Range], source: list[Range], taken: list[Range]) -> list[
     return normalise([*owned, *taken])
 
 
-def in_ranges(rows: DataFrame, ranges: list[Range]) -> DataFrame:
-    """Rows whose bucket lies in the ranges: a filter that prunes partitions of a stored log."""
+def holds(ranges: Iterable[Range]) -> Column:
+    """Whether the bucket lies in the ranges."""
     keep = F.lit(False)
     for lo, hi in ranges:
         keep = keep | F.col("bucket").between(lo, hi)
-    return rows.where(keep)
+    return keep
+
+
+def in_ranges(rows: DataFrame, ranges: list[Range]) -> DataFrame:
+    """Rows whose bucket lies in the ranges: a filter that prunes partitions of a stored log."""
+    return rows.where(holds(ranges))
 
 
 def route(buckets: DataFrame, shards: DataFrame) -> DataFrame:

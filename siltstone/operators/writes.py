@@ -20,6 +20,8 @@ class WriteBatch:
     ttl: int | None = None
     no_ttl: frozenset[str] = frozenset()
     ops: list[tuple] = field(default_factory=list)
+    #: Whether TTLs count at all.
+    expires: bool = True
 
     def put(self, bucket: int, key: bytes, col: int, v: bytes, cf: str = "default", ttl: int | None = None) -> WriteBatch:
         return self._add(bucket, cf, key, col, "put", v, ttl)
@@ -40,10 +42,13 @@ class WriteBatch:
         self.ops.append((bucket, cf, key, col, op, v, self.ttl if ttl is None else ttl))
         return self
 
-    def rows(self, spark: SparkSession, first_seq: int, now: int) -> DataFrame:
-        """The batch as log rows; a family without TTL and a delete never expire."""
+    def tuples(self, first_seq: int, now: int) -> list[tuple]:
+        """The batch as rows of a log; a family without TTL and a delete never expire."""
         out = []
         for i, (bucket, cf, key, col, op, v, ttl) in enumerate(self.ops):
-            exp = None if ttl is None or cf in self.no_ttl or op == "delete" else now + ttl
+            exp = None if ttl is None or not self.expires or cf in self.no_ttl or op == "delete" else now + ttl
             out.append((first_seq + i, bucket, cf, bytearray(key), col, op, None if v is None else bytearray(v), exp, self.schema_v))
-        return spark.createDataFrame(out, LOG)
+        return out
+
+    def rows(self, spark: SparkSession, first_seq: int, now: int) -> DataFrame:
+        return spark.createDataFrame(self.tuples(first_seq, now), LOG)
