@@ -14,7 +14,7 @@ from array import array
 from .common import hold_memory
 
 #: Pieces that a process keeps (some 200 bytes each), and the longest that it keeps, in characters.
-CACHE_PIECES, CACHE_CHARS = 1_300_000, 40
+CACHE_PIECES, CACHE_CHARS = 800_000, 40
 #: Stands between words that are looked up together, so many at once.
 MARK, JOINED = "\x01", 200
 _RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -43,7 +43,8 @@ class WordTokens:
         self.width, self.code = (2, "H") if self.library.get_vocab_size() <= 1 << 16 else (4, "I")
         self.end = self.packed([end_id])
         self.cache = Pieces()
-        self.mark = self.library.encode(MARK, add_special_tokens=False).ids[-1]
+        self.between = f" {MARK} " if self.drops_space else "\n"
+        self.mark = self.library.encode(MARK if self.drops_space else "\n", add_special_tokens=False).ids[-1]
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -66,14 +67,12 @@ class WordTokens:
         return key[1:] if key[0] == "\0" else " " + key
 
     def look_up(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces from the library; where white space only parts words, many in a call, with a mark between."""
-        if not self.drops_space:
-            ids = self.library.encode_batch_fast([self.source(k) for k in new], add_special_tokens=False)
-            return {k: array(self.code, e.ids).tobytes() for k, e in zip(new, ids)}
-        found = {k: self.packed(self.library.encode(k, add_special_tokens=False).ids) for k in new if MARK in k}
-        plain = [k for k in new if MARK not in k]
+        """Ids of pieces from the library, many in a call: a mark between them where white space only parts words, a line end otherwise."""
+        apart = [k for k in new if (MARK in k if self.drops_space else k[0] in "\0\n")]
+        found = {k: self.packed(self.library.encode(self.source(k), add_special_tokens=False).ids) for k in apart}
+        plain = [k for k in new if k not in found]
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for keys, e in zip(groups, self.library.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False)):
+        for keys, e in zip(groups, self.library.encode_batch_fast([self.between.join(map(self.source, g)) for g in groups], add_special_tokens=False)):
             found.update(zip(keys, self._parted(array(self.code, e.ids))))
         return found
 
