@@ -34,8 +34,10 @@ from .induced_sort import sorted_suffixes
 ANCHOR = 64
 #: Strings in a stretch at most (long runs of one hash are parted), bytes of a shard, entries of a queue in memory.
 STRETCH, SHARD_BYTES, MEMORY = 512, 4 << 20, 1 << 21
+#: Bytes of a passage's fingerprint, and those from which one is chosen.
+PRINT, WINDOW = 160, 300
 LISTS = "keys array<long>, firsts array<int>, counts array<int>, inners array<boolean>, digests array<binary>"
-FOUND = f"doc_id long, sha string, n_bytes long, {LISTS}"
+FOUND = f"doc_id long, sha string, n_bytes long, {LISTS}, prints array<long>"
 ANEW = f"pkey long, pdigest binary, sha string, pat int, {LISTS}"
 _SYMBOL = np.random.default_rng(400).integers(0, 1 << 63, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,28 +50,54 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def string_hashes(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the substrings of ``anchor`` bytes, and the least of them in each string of ``length`` bytes."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_SYMBOL[data] * _powers(_BASE, len(data)), dtype=np.uint64)))
-    h = (sums[anchor:] - sums[:-anchor]) * _powers(_BACK, len(data) - anchor + 1)
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_SYMBOL[data] * _powers(_BASE, len(data)), dtype=np.uint64)))
+
+
+def substring_hashes(sums: np.ndarray, anchor: int) -> np.ndarray:
+    """Hashes of all substrings of ``anchor`` bytes."""
+    h = (sums[anchor:] - sums[:-anchor]) * _powers(_BACK, len(sums) - anchor)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    w = length - anchor + 1
+    return h ^ (h >> np.uint64(29))
+
+
+def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w neighbours."""
     padded = np.full(-(-len(h) // w) * w, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(h)] = h
     rows = padded.reshape(-1, w)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     n = len(h) - w + 1
-    return h, np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
+    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
+
+
+def passage_prints(sums: np.ndarray) -> np.ndarray:
+    """Distinct fingerprints of PRINT bytes each, one from about every half WINDOW bytes, chosen by the least hash in each
+    WINDOW bytes, so that two texts with a passage in common that is somewhat longer choose the same ones in it."""
+    n = len(sums) - 1
+    if n < PRINT:
+        return np.empty(0, np.uint64)
+    h = substring_hashes(sums, ANCHOR)
+    low = np.uint64((1 << 24) - 1)
+    placed = (h & ~low) | (np.arange(len(h), dtype=np.uint64) & low)  # the least tells its place, in texts of 16 MiB; beyond, texts are cut there
+    at = np.concatenate([first + _chosen(placed[first : first + (1 << 24)], min(WINDOW, n) - ANCHOR + 1) for first in range(0, len(placed), 1 << 24)])
+    at = at[at + PRINT <= n]
+    return np.unique((sums[at + PRINT] - sums[at]) * _powers(_BACK, n + 1)[at])
 
 
-def stretches(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+def _chosen(placed: np.ndarray, w: int) -> np.ndarray:
+    least = sliding_least(placed, min(w, len(placed)))
+    return (least[np.concatenate(([True], least[1:] != least[:-1]))] & np.uint64((1 << 24) - 1)).astype(np.int64)
+
+
+def stretches(data: np.ndarray, length: int, anchor: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
     """(hash, first string, number of strings, whether the hash is in it twice) of each stretch of one text."""
     if len(data) < length:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), []
-    h, least = string_hashes(data, length, anchor)
+    h = substring_hashes(prefix_sums(data) if sums is None else sums, anchor)
+    least = sliding_least(h, length - anchor + 1)
     starts = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
     counts = np.diff(np.concatenate((starts, [len(least)])))
     if counts.max() > STRETCH:
@@ -87,11 +115,14 @@ def anchors(length: int) -> list[int]:
     return sorted({min(ANCHOR, max(1, length // 4)), length // 2 or 1, length * 4 // 5 or 1, length * 19 // 20 or 1, length})
 
 
-def stretch_lists(texts: list[bytes], length: int, anchor: int) -> dict[str, pa.Array]:
-    """The stretches of each text as the columns of LISTS."""
+def stretch_lists(texts: list[bytes], length: int, anchor: int, prints: list[np.ndarray] | None = None) -> dict[str, pa.Array]:
+    """The stretches of each text as the columns of LISTS; prints: takes the fingerprints of each text."""
     keys, firsts, counts, inners, digests = [], [], [], [], []
     for raw in texts:
-        k, f, c, i = stretches(np.frombuffer(raw, np.uint8), length, anchor)
+        sums = prefix_sums(np.frombuffer(raw, np.uint8))
+        k, f, c, i = stretches(np.frombuffer(raw, np.uint8), length, anchor, sums)
+        if prints is not None:
+            prints.append(passage_prints(sums).view(np.int64))
         keys.append(k.view(np.int64))
         firsts.append(f.astype(np.int32))
         counts.append(c.astype(np.int32))
@@ -106,7 +137,10 @@ def find_stretches(docs: DataFrame, length: int, anchor: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             shas = pa.array([hashlib.sha256(raw).hexdigest() for raw in texts], pa.string())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "sha": shas, "n_bytes": pa.array([len(raw) for raw in texts], pa.int64()), **stretch_lists(texts, length, anchor)})
+            prints: list[np.ndarray] = []
+            lists = stretch_lists(texts, length, anchor, prints)
+            sizes = pa.array([len(raw) for raw in texts], pa.int64())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "sha": shas, "n_bytes": sizes, **lists, "prints": pa.array(prints, pa.list_(pa.int64()))})
 
     return id_bytes(docs).mapInArrow(look, FOUND)
 
@@ -208,8 +242,19 @@ def repeated_runs(found: DataFrame, texts: DataFrame, length: int, steps: list[i
     return out
 
 
+def shared_prints(texts: DataFrame) -> DataFrame:
+    """(text, shared): how many fingerprints of a text are also another's; text: a hash of its digest."""
+    flat = texts.select(F.xxhash64("sha").alias("text"), F.explode("prints").alias("print"))
+    several = flat.groupBy("print").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo < hi").select("print")
+    return cut(flat.join(several, "print").groupBy("text").agg(F.count("*").alias("shared")), "shared")
+
+
 def repeated_strings(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY) -> DataFrame:
-    """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared.
+
+    n_shared counts fingerprints of passages that another document holds, too: it tells documents
+    with shared passages of some 300 bytes, shorter than ``length``, of which nothing is removed.
+    """
     prepare(docs.sparkSession)
     steps = anchors(length)
     every = cut(find_stretches(docs, length, steps[0]), "stretches")
@@ -245,12 +290,14 @@ def repeated_strings(docs: DataFrame, length: int = 400, shard_bytes: int = SHAR
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["sha", "removed", "runs", "kept"])
 
     removed = cut(texts.join(spans, "sha").select("sha", "data", "spans").mapInArrow(remove, "sha string, removed long, runs long, kept string"), "removed")
+    counts = shared_prints(alone)
     # a text with copies is one whole repeat
-    narrow = rows.select("doc_id", "sha", "n_bytes", (F.col("rep").isNotNull() | F.col("n").isNotNull()).alias("copied"))
+    narrow = rows.select("doc_id", "sha", "n_bytes", F.size("prints").cast("long").alias("n_prints"), F.xxhash64("sha").alias("text"), (F.col("rep").isNotNull() | F.col("n").isNotNull()).alias("copied"))
     whole = F.col("copied") & (F.col("n_bytes") >= length)
-    return narrow.join(removed, "sha", "left").select(
+    return narrow.join(removed, "sha", "left").join(counts, "text", "left").select(
         "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("runs", F.lit(0).cast("long"))).alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(F.col("copied"), F.col("n_prints")).otherwise(F.coalesce("shared", F.lit(0).cast("long"))).alias("n_shared"),
     )
