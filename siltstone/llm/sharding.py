@@ -3,8 +3,9 @@
 A node that has to yield k leaves is cut along its widest dimension (largest size-weighted
 variance of the coordinates, each scaled to the table's range) at the weighted quantile
 floor(k/2)/k. The quantile is found by distributed histograms over a 52-bit order key (20 bits of
-the coordinate, 32 bits of a hash of the id, so that ties of a hot value can be cut), refined by
-10 bits a pass; only nodes x 1024 sums reach the driver. All nodes of a level share each pass.
+the coordinate, 32 bits of a hash of the id, so that ties of a hot value can be cut): the first pass
+takes the variances and the top 10 bits of all dimensions at once, each later one refines by 12 bits.
+Only nodes x dimensions x 1024 or nodes x 4096 sums reach the driver. All nodes of a level share each pass.
 
 Defined cases: a null text has no bytes (size 8) and the checksum of the empty text; null
 metadata takes coordinate 0; equal rows are ordered by the hash of their id and repeated ids fall
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 
 from .common import cut
 
-STEP, KEY_BITS = 10, 52
+FIRST, STEP, AXIS_BITS, KEY_BITS = 10, 12, 20, 52
 #: A cut is fine enough when its last histogram bucket holds less than this share of a shard.
 TOLERANCE = 1e-3
 #: Rows of a numbering group within a shard, on average.
@@ -61,18 +62,40 @@ def split_level(rows: DataFrame, root: Node, open_nodes: list[Node], axes: int,
     places = {id(n): i for i, n in enumerate(open_nodes)}
     node = root.column(lambda n: F.lit(places.get(id(n), -1))).alias("node")
     base = rows.select("*", node).where("node >= 0")
-    sums = [F.sum("w").alias("w")] + [f(a) for a in range(axes) for f in (lambda a: F.sum(F.col("w") * F.col(f"x{a}").cast("double")).alias(f"s{a}"), lambda a: F.sum(F.col("w") * F.col(f"x{a}").cast("double") * F.col(f"x{a}")).alias(f"q{a}"))]
-    stats = {r["node"]: r for r in base.groupBy("node").agg(*sums).collect()}
-    goal, prefix, below = {}, {}, {}
+    one = base.select("node", "w", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"x{a}").alias("x")) for a in range(axes)])).alias("d")).select("node", "w", "d.axis", "d.x")
+    wx = F.col("w") * F.col("x").cast("double")
+    parts: dict[tuple, list] = {}
+    for r in one.groupBy("node", "axis", F.shiftright("x", AXIS_BITS - FIRST).alias("key")).agg(F.sum("w").alias("w"), F.sum(wx).alias("s"), F.sum(wx * F.col("x")).alias("q")).collect():
+        parts.setdefault((r["node"], r["axis"]), []).append((r["key"], r["w"], r["s"], r["q"]))
+
+    def spread(found: list) -> float:
+        w, s, q = (sum(f[k] for f in found) for k in (1, 2, 3))
+        return q / w - (s / w) ** 2
+
+    goal, prefix, below, active, shift = {}, {}, {}, [], KEY_BITS - FIRST
+
+    def settle(i: int, found: list) -> None:
+        """Descends into the histogram's bucket that holds the quantile of node i, or cuts there."""
+        at, w = None, 0.0
+        for at, w in sorted(f[:2] for f in found):
+            if below[i] + w >= goal[i]:
+                break
+            below[i] += w
+        prefix[i] = at
+        if shift and w > TOLERANCE * total / shards:
+            active.append(i)
+        else:  # the bucket goes whole to the side where it does least harm
+            low = below[i] + w - goal[i] <= goal[i] - below[i]
+            open_nodes[i].cut_at = ((at + 1) << shift) - 1 if low else (at << shift) - 1
+
     for i, n in enumerate(open_nodes):
         n.low, n.high = Node(n.leaves // 2), Node(n.leaves - n.leaves // 2)
         n.axis, n.cut_at = 0, -1
-        if i in stats:
-            r = stats[i]
-            spread = [r[f"q{a}"] / r["w"] - (r[f"s{a}"] / r["w"]) ** 2 for a in range(axes)]
-            n.axis = max(range(axes), key=lambda a: spread[a])
-            goal[i], prefix[i], below[i] = r["w"] * n.low.leaves / n.leaves, 0, 0.0
-    active, shift = list(goal), KEY_BITS
+        if (i, 0) in parts:
+            n.axis = max(range(axes), key=lambda a: spread(parts[(i, a)]))
+            own = parts[(i, n.axis)]
+            goal[i], below[i] = sum(f[1] for f in own) * n.low.leaves / n.leaves, 0.0
+            settle(i, own)
     while active and shift > 0:
         step = min(STEP, shift)
         shift -= step
@@ -82,23 +105,12 @@ def split_level(rows: DataFrame, root: Node, open_nodes: list[Node], axes: int,
             k = order_key(open_nodes[i].axis)
             key = F.when(F.col("node") == i, F.shiftright(k, shift)).otherwise(key)
             inside = inside | ((F.col("node") == i) & (F.shiftright(k, shift + step) == F.lit(prefix[i])))
-        parts: dict[int, list] = {}
+        finer: dict[int, list] = {}
         for r in base.where(inside).groupBy("node", key.alias("key")).agg(F.sum("w").alias("w")).collect():
-            parts.setdefault(r["node"], []).append((r["key"], r["w"]))
-        still = []
-        for i in active:
-            at, w = None, 0.0
-            for at, w in sorted(parts[i]):
-                if below[i] + w >= goal[i]:
-                    break
-                below[i] += w
-            prefix[i] = at
-            if shift and w > TOLERANCE * total / shards:
-                still.append(i)
-            else:  # the bucket goes whole to the side where it does least harm
-                low = below[i] + w - goal[i] <= goal[i] - below[i]
-                open_nodes[i].cut_at = ((at + 1) << shift) - 1 if low else (at << shift) - 1
-        active = still
+            finer.setdefault(r["node"], []).append((r["key"], r["w"]))
+        turn, active = active, []
+        for i in turn:
+            settle(i, finer[i])
 
 
 def kd_shards(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...] = ("lang", "source", "n_chars")) -> DataFrame:
