@@ -7,7 +7,8 @@ are harmless alone count together. Training: Adam on a bounded sample of labelle
 (``sample`` rows, drawn by a hash of the id; the bound is the parameter). Scoring: every whole
 text, by a broadcast of SELECTED x (FACTORS + 1) numbers, whatever the table's size.
 
-Defined cases: null or empty texts score by the bias alone; a label that repeats counts as its
+Defined cases: null or empty texts score by the bias alone; of rows that share a labelled id the
+least text is learned from; very long texts are read whole; a label that repeats counts as its
 largest value and null labels are left out; without labels of both classes every score is the
 share of toxic labels (0 without labels); an empty table gives an empty result; repeated rows are
 scored each; extra columns are ignored.
@@ -125,7 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "toxic": batch.column(2).cast(pa.int32()), "terms": pa.array([text_terms(d).tobytes() for d in batch.column(1).to_pylist()], pa.binary())})
 
-    rows = id_bytes(docs).join(F.broadcast(drawn), "doc_id").mapInArrow(inputs, "doc_id long, toxic int, terms binary")
+    # a labelled id that repeats is learned from once, so that the sample bounds what reaches the driver
+    once = id_bytes(docs).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("data").alias("data")).select("doc_id", "data", "toxic")
+    rows = once.mapInArrow(inputs, "doc_id long, toxic int, terms binary")
     table = rows.toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
     give_back()  # the driver's memory is bounded, too
     machine = train([t for c in table["terms"].chunks for t in byte_views(c, np.int32)], (table["toxic"].to_numpy() > 0).astype(float))
