@@ -11,6 +11,8 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 from .common import hold_memory
 
 #: Pieces that a process keeps (some 200 bytes each), and the longest that it keeps, in characters.
@@ -68,21 +70,18 @@ class WordTokens:
 
     def look_up(self, new: list[str]) -> dict[str, bytes]:
         """Ids of pieces from the library, many in a call: a mark between them where white space only parts words, a line end otherwise."""
-        apart = [k for k in new if (MARK in k if self.drops_space else k[0] in "\0\n")]
+        apart = [k for k in new if (MARK in k if self.drops_space else k[0] == "\n")]
         found = {k: self.packed(self.library.encode(self.source(k), add_special_tokens=False).ids) for k in apart}
         plain = [k for k in new if k not in found]
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for keys, e in zip(groups, self.library.encode_batch_fast([self.between.join(map(self.source, g)) for g in groups], add_special_tokens=False)):
-            found.update(zip(keys, self._parted(array(self.code, e.ids))))
+            found.update(zip(keys, self._parted(e.ids)))
         return found
 
-    def _parted(self, ids: array) -> list[bytes]:
-        data, w, at, out = ids.tobytes(), self.width, 0, []
-        for i in [i for i, x in enumerate(ids) if x == self.mark]:
-            out.append(data[at * w : i * w])
-            at = i + 1
-        out.append(data[at * w :])
-        return out
+    def _parted(self, ids: list[int]) -> list[bytes]:
+        flat, w = np.array(ids, f"<u{self.width}"), self.width
+        data, marks = flat.tobytes(), (np.flatnonzero(flat == self.mark) * w).tolist()
+        return [data[a:z] for a, z in zip([0, *[m + w for m in marks]], [*marks, len(data)])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, with the end id."""
