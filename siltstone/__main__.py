@@ -17,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="siltstone")
     out.add_argument("--config", help="a JSON, TOML, INI or YAML file of options")
     what = out.add_subparsers(dest="what", required=True)
-    for name, text in (("snapshots", "a shard's snapshots"), ("metrics", "a shard's measures"), ("compact", "fold a shard's segments"), ("vacuum", "delete what nothing names")):
+    for name, text in (("snapshots", "a shard's snapshots"), ("metrics", "a shard's measures"), ("compact", "fold a shard's segments"), ("maintain", "drop, fold and delete what a schedule should"), ("vacuum", "delete what nothing names")):
         what.add_parser(name, help=text).add_argument("path")
     prune = what.add_parser("prune", help="expire one snapshot of a shard")
     prune.add_argument("path")
@@ -55,6 +55,8 @@ def run(arguments: list[str] | None = None, spark: SparkSession | None = None) -
         return out + [json.dumps(r.asDict()) for r in samples_frame(spark, db.metrics()).collect()]
     if a.what == "compact":
         return [*out, json.dumps({"version": db.compact().version})]
+    if a.what == "maintain":
+        return [*out, json.dumps(db.maintain())]
     return [*out, json.dumps({"deleted": db.vacuum()})]
 
 

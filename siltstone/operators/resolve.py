@@ -11,6 +11,8 @@ window, so that a hot key is split by adaptive execution instead of sorted in on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,18 +80,22 @@ def evolved(log: DataFrame, schema: Schema, family: str) -> DataFrame:
     place = F.col("col")
     for written, was, new in moves:
         place = F.when((old == written) & (F.col("col") == was), F.lit(new).cast("int")).otherwise(place)
-    own = F.struct(place.alias("col"), F.col("op").alias("op"), F.col("v").alias("v"))
-    filled = [F.when(old == written, F.struct(F.lit(new).alias("col"), F.lit("put").alias("op"), F.lit(bytearray(d)).alias("v"))) for written, new, d in fills]
-    rest = [c for c in log.columns if c not in ("col", "op", "v")]
+    far = F.col("far") if "far" in log.columns else F.lit(False)
+    own = F.struct(place.alias("col"), F.col("op").alias("op"), F.col("v").alias("v"), far.alias("far"))
+    filled = [F.when(old == written, F.struct(F.lit(new).alias("col"), F.lit("put").alias("op"), F.lit(bytearray(d)).alias("v"), F.lit(False).alias("far"))) for written, new, d in fills]
+    rest = [c for c in log.columns if c not in ("col", "op", "v", "far")]
     many = log.select(*rest, F.explode(F.array(own, *filled)).alias("cell")).where("cell is not null and cell.col is not null")
-    return many.select(*rest, "cell.col", "cell.op", "cell.v").select(*log.columns)
+    return many.select(*rest, "cell.*").select(*log.columns)
 
 
 def stored_rows(
     log: DataFrame, schema: Schema, family: str, columns: list[int] | None = None, operators: Operators | None = None,
-    now: int | None = None, at: int | None = None, cursors: DataFrame | None = None, raw: bool = True,
+    now: int | None = None, at: int | None = None, cursors: DataFrame | None = None, raw: bool = True, fetch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Resolved rows of one family of a stored log: KEYS, c0, c1, ... in the order asked for; bytes if ``raw``, typed otherwise."""
+    """Resolved rows of one family of a stored log: KEYS, c0, c1, ... in the order asked for; bytes if ``raw``, typed otherwise.
+
+    fetch: brings values that lie beside the log; only the versions that count are asked for theirs.
+    """
     f, operators = schema.family(family), operators or Operators()
     wanted = list(range(f.width)) if columns is None else list(columns)
     if bad := [c for c in wanted if not 0 <= c < f.width]:
@@ -98,6 +104,7 @@ def stored_rows(
     if not f.value_has_ttl:
         own = own.withColumn("exp", F.lit(None).cast("bigint"))
     kept = live(evolved(visible(own, now, at, cursors), schema, family).where(F.col("col").isin(wanted)))
+    kept = kept if fetch is None else fetch(kept)
     found = {c: operators.resolve(f.operators[c], f.operator_metadata(c)).at(now) for c in wanted}
     values = [op.value(F.when(F.col("col") == c, op.typed(F.col("v"))), F.col("seq")).alias(f"c{i}") for i, (c, op) in enumerate((c, found[c]) for c in wanted)]
     rows_ = kept.groupBy(*KEYS).agg(*values)

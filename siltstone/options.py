@@ -51,7 +51,11 @@ class Volume:
 
 @dataclass(frozen=True)
 class Config:
-    """What a database is opened with."""
+    """What a database is opened with.
+
+    file_systems: (scheme, Hadoop class) of stores that the session does not know. stall_deltas: segments behind the
+    base beyond which a write folds them first. value_log_threshold: values of more bytes lie beside the log.
+    """
 
     volumes: tuple[Volume, ...] = ()
     num_columns: int = 1
@@ -61,10 +65,14 @@ class Config:
     clock: str = "system"
     snapshot_retention: int | None = None
     data_file_type: str = "parquet"
+    file_systems: tuple[tuple[str, str], ...] = ()
     compression: str = "zstd"
     bloom_keys: int = 0
     buffer_rows: int = 10_000
     max_deltas: int = 8
+    stall_deltas: int | None = None
+    compaction_policy: str = "score"
+    value_log_threshold: int | None = None
     reload_tolerance_seconds: int = 10
 
     def __post_init__(self) -> None:
@@ -74,8 +82,10 @@ class Config:
             raise InvalidInput("columns, buffered rows and deltas are 1 at least")
         if self.clock not in ("system", "manual"):
             raise InvalidInput(f"no clock {self.clock}")
-        if self.data_file_type != "parquet":
-            raise InvalidInput(f"files of type {self.data_file_type} are not written; parquet is")
+        if self.data_file_type not in ("parquet", "orc"):
+            raise InvalidInput(f"files of type {self.data_file_type} are not written; parquet and orc are")
+        if self.stall_deltas is not None and self.stall_deltas < self.max_deltas:
+            raise InvalidInput("writes wait only beyond the segments that compaction waits for")
         if self.snapshot_retention is not None and self.snapshot_retention < 1:
             raise InvalidInput("retention keeps a snapshot at least")
 
@@ -111,6 +121,8 @@ class Config:
                 kinds = kinds.split(",") if isinstance(kinds, str) else kinds
                 made.append(Volume(v["base_dir"], tuple(k.strip().lower().replace("-", "_") for k in kinds), v.get("size_limit")))
             own["volumes"] = tuple(made)
+        if "file_systems" in own:
+            own["file_systems"] = tuple(sorted((str(k), str(v)) for k, v in dict(own["file_systems"]).items()))
         return cls(**own), unknown
 
     @classmethod

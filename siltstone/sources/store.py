@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Conflict, InvalidState
@@ -53,6 +53,8 @@ class Segment:
     gone: tuple[tuple[str, int], ...] = ()
     home: str = ""
     only: tuple[Range, ...] = ()
+    #: How many of its values lie beside it.
+    far: int = 0
 
 
 @dataclass(frozen=True)
@@ -80,13 +82,19 @@ class Manifest:
         return Schema.from_json(self.schema) if self.schema else Schema()
 
 
+def far_place(segment: Column) -> Column:
+    """What finds a value that lies beside the log; a seq is one mutation's, and each of its columns has one value."""
+    return F.concat_ws(":", segment, "seq", "col")
+
+
 class LogStore:
     """Appends, replacements and reads of a log, each a version that its manifest alone describes."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str = LOG, compression: str = "zstd", bloom_keys: int = 0) -> None:
-        """compression: of the files. bloom_keys: distinct keys a file that its Bloom filter of keys is made for; 0 for none."""
+    def __init__(self, spark: SparkSession, path: str, schema: str = LOG, compression: str = "zstd", bloom_keys: int = 0, files: str = "parquet", far_bytes: int | None = None) -> None:
+        """compression: of the files. bloom_keys: distinct keys a file that its Bloom filter of keys is made for; 0 for none.
+        files: parquet or orc. far_bytes: larger values lie in files beside the log, which reads of other versions leave alone."""
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.compression, self.bloom_keys = compression, bloom_keys
+        self.compression, self.bloom_keys, self.files, self.far_bytes = compression, bloom_keys, files, far_bytes
         self.folder = Folder(spark, self.path)
 
     def versions(self) -> list[int]:
@@ -113,20 +121,27 @@ class LogStore:
         """Mutations, sorted by key within their files, as a folder that no manifest names yet; none if there are none."""
         name = uuid.uuid4().hex
         folder = f"{self.path}/data/segment={name}"
-        writer = log.select(*[c.split()[0] for c in self.schema.split(", ")]).sortWithinPartitions("cf", "bucket", "key", "seq").write
+        rows = log.select(*[c.split()[0] for c in self.schema.split(", ")])
+        far = F.lit(False) if self.far_bytes is None else F.coalesce((F.col("op") != "delete") & (F.octet_length("v") > self.far_bytes), F.lit(False))
+        if self.far_bytes is not None:
+            place = f"{self.path}/values/segment={name}"
+            rows.where(far).select(far_place(F.lit(name)).alias("place"), F.col("v").alias("value")).write.option("compression", self.compression).format(self.files).save(place)
+        stored = rows.withColumn("far", far).withColumn("v", F.when(~F.col("far"), F.col("v")))
+        writer = stored.sortWithinPartitions("cf", "bucket", "key", "seq").write.format(self.files)
         writer = writer.option("compression", self.compression)
         if self.bloom_keys:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(self.bloom_keys))
-        writer.partitionBy("cf", "bucket").parquet(folder)
+        writer.partitionBy("cf", "bucket").save(folder)
         lasting = F.count(F.when(F.col("exp").isNull() | (F.col("op") == "delete"), 1))
         found = self._folders([Segment(name, 0, 0)]).groupBy("cf").agg(
-            F.count("*").alias("rows"), lasting.alias("lasting"), F.max("exp").alias("last_exp"), F.hex(F.min("key")).alias("lo"), F.hex(F.max("key")).alias("hi"), F.min("seq").alias("first"), F.max("seq").alias("last")
+            F.count("*").alias("rows"), lasting.alias("lasting"), F.max("exp").alias("last_exp"), F.hex(F.min("key")).alias("lo"), F.hex(F.max("key")).alias("hi"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.count(F.when(F.col("far"), 1)).alias("far")
         ).collect()  # fmt: skip  # a row a family
         if not found:
             self.folder.delete(f"data/segment={name}")
+            self.folder.delete(f"values/segment={name}")
             return None
         spans = {r.cf: Span(r.rows, r.lasting, r.last_exp, r.lo, r.hi) for r in found}
-        return Segment(name, min(r.first for r in found), max(r.last for r in found), base, spans)
+        return Segment(name, min(r.first for r in found), max(r.last for r in found), base, spans, far=sum(r.far for r in found))
 
     def append(self, log: DataFrame, ranges: Iterable[Range] | None = None, batch: tuple[str, int] | None = None, schema: Schema | None = None, attempts: int = 5) -> Manifest:
         """A new version with these mutations. batch: a stream and its batch's number; one that is in already is not added again."""
@@ -163,7 +178,9 @@ class LogStore:
         def change(m: Manifest) -> Manifest:
             if missing := old - {s.name for s in m.segments}:
                 raise Conflict(f"{len(missing)} segments were replaced meanwhile")
-            return replace(m, segments=(*([new] if new else []), *[s for s in m.segments if s.name not in old]), **more)
+            first = min((i for i, s in enumerate(m.segments) if s.name in old), default=0)
+            kept = [s for s in m.segments if s.name not in old]
+            return replace(m, segments=(*kept[:first], *([new] if new else []), *kept[first:]), **more)
 
         return self.amend(change)
 
@@ -174,11 +191,11 @@ class LogStore:
             groups.setdefault((s.home or self.path, s.only), []).append(s)
         out = None
         for (home, only), own in groups.items():
-            reader = self.spark.read.schema(f"{self.schema}, segment string").option("basePath", f"{home}/data")
-            part = reader.parquet(*[f"{home}/data/segment={s.name}" for s in own])
+            reader = self.spark.read.schema(f"{self.schema}, far boolean, segment string").option("basePath", f"{home}/data").format(self.files)
+            part = reader.load([f"{home}/data/segment={s.name}" for s in own])
             part = in_ranges(part, list(only)) if only else part
             out = part if out is None else out.unionByName(part)
-        out = self.spark.createDataFrame([], f"{self.schema}, segment string") if out is None else out
+        out = self.spark.createDataFrame([], f"{self.schema}, far boolean, segment string") if out is None else out
         for s in segments:
             for cf, bucket in s.gone:
                 out = out.where(~((F.col("segment") == s.name) & (F.col("cf") == cf) & (F.col("bucket") == bucket)))
@@ -189,8 +206,28 @@ class LogStore:
         spans = lambda s: s.spans.values() if family is None else [s.spans[family]] if family in s.spans else []
         return [s for s in found.segments if any(x.may_hold(start, end, now) for x in spans(s))]
 
-    def read(self, version: int | None = None, family: str | None = None, start: bytes | None = None, end: bytes | None = None, now: int | None = None, ranges: Iterable[Range] | None = None) -> DataFrame:
-        """The log of a version, without the segments, parts and buckets that the read cannot see."""
+    def fetched(self, rows: DataFrame, segments: Iterable[Segment]) -> DataFrame:
+        """rows (with far and segment) of segments, with the values that lie beside the log in their place."""
+        own = [s for s in segments if s.far]
+        if own:
+            values = None
+            for home in {s.home or self.path for s in own}:
+                paths = [f"{home}/values/segment={s.name}" for s in own if (s.home or self.path) == home]
+                reader = self.spark.read.schema("place string, value binary, segment string").option("basePath", f"{home}/values").format(self.files)
+                part = reader.load(paths).drop("segment")
+                values = part if values is None else values.unionByName(part)
+            near = rows.where("not far")
+            rows = rows.where("far").join(values, "place").withColumn("v", F.col("value")).drop("value").unionByName(near)
+        return rows.drop("far", "segment", "place")
+
+    def read(
+        self, version: int | None = None, family: str | None = None, start: bytes | None = None, end: bytes | None = None,
+        now: int | None = None, ranges: Iterable[Range] | None = None, late: bool = False,
+    ) -> DataFrame:
+        """The log of a version, without the segments, parts and buckets that the read cannot see.
+
+        late: where values lie beside the log, they are left there, and far, segment and place, which ``fetched`` needs, come along.
+        """
         found = self.manifest(version)
         chosen = self.segments_for(found, family, start, end, now) if found else []
         out = self._folders(chosen)
@@ -200,11 +237,17 @@ class LogStore:
             out = out.where(between(None if start is None else F.lit(bytearray(start)), None if end is None else F.lit(bytearray(end))))
         if found and (wanted := list(found.ranges if ranges is None else ranges)) != list(ALL_BUCKETS):
             out = in_ranges(out, wanted)
-        return out.drop("segment")
+        return self._placed(out, chosen, late)
+
+    def _placed(self, rows: DataFrame, segments: list[Segment], late: bool) -> DataFrame:
+        if not any(s.far for s in segments):
+            return rows.drop("far", "segment")
+        rows = rows.withColumn("place", F.when(F.col("far"), far_place(F.col("segment"))))
+        return rows if late else self.fetched(rows, segments)
 
     def read_segments(self, segments: list[Segment], ranges: Iterable[Range] | None = None) -> DataFrame:
-        out = self._folders(segments).drop("segment")
-        return out if ranges is None else in_ranges(out, list(ranges))
+        out = self._folders(segments)
+        return self._placed(out if ranges is None else in_ranges(out, list(ranges)), segments, False)
 
     def stats(self, version: int | None = None) -> DataFrame:
         """A row a part, that is a segment's family and bucket: counts, expiry, keys and seqs."""
@@ -231,5 +274,6 @@ class LogStore:
         dead = [n for n in self.folder.names("data") if n not in named]
         for n in dead:
             self.folder.delete(f"data/{n}")
+            self.folder.delete(f"values/{n}")
         self.folder.delete("scratch")
         return len(dead)
