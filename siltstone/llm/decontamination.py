@@ -5,10 +5,11 @@ UTF-8 bytes can be split without decoding. The automaton holds every run of word
 reading a document's words, it tracks the longest run ending at each word that some item holds.
 Where that run has ``window`` words, they are hit; so are whole shorter items.
 
-Items are taken in blocks of at most ``block_words`` words, each block with an automaton of its
-own that workers hold one at a time, so that what is sent has a fixed bound whatever the
-benchmark's size; the items found in the blocks are joined. Only the runs of words that all occur
-in a block's items are walked; any other word puts the automaton back to its root.
+Items are taken in blocks of at most ``block_words`` words. The driver reads one block at a time and
+sends it to one pass over the documents, in which each task builds its automaton once; so neither
+holds more than a block, whatever the benchmark's size. With more than one block, rows are numbered
+and the hits of all passes are joined by row. Only the runs of words that all occur in a block's
+items are walked; any other word puts the automaton back to its root.
 
 Defined cases: null or empty texts have no words and hit nothing; items without words are never
 found; items with equal words are all found; rows that repeat an item_id count once; an empty
@@ -20,7 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -139,86 +141,132 @@ class Automaton:
                     yield first + a, first + b, names, run
 
 
-def item_blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[str, bytes]]]:
-    """Items in blocks of at most block_words words (one item at least)."""
-    blocks: list[list[tuple[str, bytes]]] = []
-    room = 0
+def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Items in blocks of at most block_words words (one item at least), read one block at a time."""
+    block: list[tuple[str, bytes]] = []
+    room = block_words
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     for name, data in items.distinct().orderBy("item_id").toLocalIterator():
         n = len(words(bytes(data)))
-        if not blocks or n > room:
-            blocks.append([])
-            room = block_words
-        blocks[-1].append((name, bytes(data)))
+        if block and n > room:
+            yield block
+            block, room = [], block_words
+        block.append((name, bytes(data)))
         room -= n
-    return blocks
+    yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
-    """A row a document: counts, items found, the spans of hit words and the longest run."""
+#: Of one text: which words are hit, the items, the longest run; none where nothing is hit.
+Hits = tuple[np.ndarray, set[str], int] | None
+Finder = Callable[[pa.RecordBatch, list[list[bytes]]], list[Hits]]
+
+
+def scanned(automaton: Automaton, text: list[bytes]) -> Hits:
+    hit, items, longest = None, set(), 0
+    for first, last, found, run in automaton.scan(text):
+        hit = np.zeros(len(text), bool) if hit is None else hit
+        hit[first : last + 1] = True
+        items |= found
+        longest = max(longest, run)
+    return None if hit is None else (hit, items, longest)
+
+
+def spans_of(hit: np.ndarray) -> list[dict[str, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))).tolist()
+    return [{"first": a, "last": z - 1} for a, z in zip(edges[::2], edges[1::2])]
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, text: str) -> tuple[DataFrame, Callable[[], Finder]]:
+    """docs for one more pass, perhaps with further columns, and what a task of that pass finds the hits of a batch with."""
     spark = docs.sparkSession
     prepare(spark)
-    sent = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, block_words)]
+    blocks = item_blocks(benchmark, block_words)
+    head = list(islice(blocks, 2))
+    if len(head) == 1:
+        sent = spark.sparkContext.broadcast(head[0])
+
+        def by_automaton() -> Finder:
+            automaton = Automaton([(n, words(d)) for n, d in sent.value], window)
+            return lambda batch, texts: [scanned(automaton, t) for t in texts]
+
+        return docs, by_automaton
+    row, own = "row_" + "_".join(docs.columns), [f"{c}_of_" + "_".join(docs.columns) for c in ("spans", "items", "run")]
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = None
+    for block in chain(head, blocks):
+        part = cut(_pass(rows.select(row, F.coalesce(F.col(text), F.lit("").cast(docs.schema[text].dataType)).cast("binary")), row, block, window), "hits")
+        found = part if found is None else found.unionByName(part)
+    joined = found.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias(own[0]), F.flatten(F.collect_list("items")).alias(own[1]), F.max("run").alias(own[2]))
+
+    def from_columns() -> Finder:
+        def find(batch: pa.RecordBatch, texts: list[list[bytes]]) -> list[Hits]:
+            out: list[Hits] = []
+            for t, spans, items, run in zip(texts, *(batch.column(c).to_pylist() for c in own)):
+                hit = np.zeros(len(t), bool)
+                for s in spans or ():
+                    hit[s["first"] : s["last"] + 1] = True
+                out.append((hit, set(items), run) if spans else None)
+            return out
+
+        return find
+
+    return rows.join(joined, row, "left"), from_columns
+
+
+def _pass(rows: DataFrame, row: str, block: list[tuple[str, bytes]], window: int) -> DataFrame:
+    """The rows that one block's items hit."""
+    sent = rows.sparkSession.sparkContext.broadcast(block)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memory("decontamination")
+        automaton = Automaton([(n, words(d)) for n, d in sent.value], window)
+        for batch in batches:
+            hits = [scanned(automaton, words(d)) for d in batch.column(1).to_pylist()]
+            kept = [i for i, h in enumerate(hits) if h is not None]
+            span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+            columns = [pa.array([spans_of(hits[i][0]) for i in kept], span), pa.array([sorted(hits[i][1]) for i in kept], pa.list_(pa.string())), pa.array([hits[i][2] for i in kept], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), *columns], [row, "spans", "items", "run"])
+
+    return rows.mapInArrow(look, f"`{row}` long, spans array<struct<first:int,last:int>>, items array<string>, run int")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
+    """A row a document: counts, items found, the spans of hit words and the longest run."""
     names = [c.split(" ")[0] for c in RESULT.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))]
+    ready, finder = with_hits(id_bytes(docs), benchmark, window, block_words, "data")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_memory("decontamination")
-        single = Automaton([(n, words(d)) for n, d in sent[0].value], window) if len(sent) == 1 else None
+        find = finder()
         for batch in batches:
-            texts = [words(d) for d in batch.column(1).to_pylist()]
-            hit: list[np.ndarray | None] = [None] * len(texts)
-            items: list[set[str]] = [set() for _ in texts]
-            longest = [0] * len(texts)
-            for b in sent:
-                automaton = single or Automaton([(n, words(d)) for n, d in b.value], window)
-                for k, text in enumerate(texts):
-                    for first, last, found, run in automaton.scan(text):
-                        if hit[k] is None:
-                            hit[k] = np.zeros(len(text), bool)
-                        hit[k][first : last + 1] = True
-                        items[k] |= found
-                        longest[k] = max(longest[k], run)
+            texts = [words(d) for d in batch.column("data").to_pylist()]
             rows = []
-            for doc_id, text, h, found, run in zip(batch.column(0).to_pylist(), texts, hit, items, longest):
-                n = int(h.sum()) if h is not None else 0
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], h, [False])).astype(np.int8))).tolist() if n else []
-                spans = [{"first": a, "last": z - 1} for a, z in zip(edges[::2], edges[1::2])]
-                rows.append((doc_id, len(text), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0, run, spans))
+            for doc_id, text, h in zip(batch.column("doc_id").to_pylist(), texts, find(batch, texts)):
+                hit, found, run = h or (np.zeros(0, bool), set(), 0)
+                n = int(hit.sum())
+                rows.append((doc_id, len(text), n, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), n > 0, run, spans_of(hit)))
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return id_bytes(docs).mapInArrow(look, RESULT)
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, longest: int = 10, coverage: float = 0.0, window: int = 10) -> DataFrame:
-    """docs, all columns, without those that hold a run of ``longest`` words or more of an item, a
-    whole shorter item, or hits over more than ``coverage`` of their words."""
-    found = decontaminate(docs, benchmark, window)
-    over = found.where((F.col("longest") >= longest) | (F.col("n_hit") > F.col("n_words") * F.lit(coverage)))
-    return docs.join(cut(over.select("doc_id").distinct(), "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    return ready.mapInArrow(look, RESULT)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.2, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
     """docs, all columns, row by row: hit words are cut out of the text, each run of them with the
     signs between giving way to one space; rows with hits over more than ``coverage`` of their words
     are dropped. n_chars, where it is a column, is counted anew in rows that were cut."""
-    spark = docs.sparkSession
-    prepare(spark)
-    sent = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, block_words)]
     names, schema = docs.columns, docs.schema
+    ready, finder = with_hits(docs, benchmark, window, block_words, "text")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_memory("decontamination")
-        single = Automaton([(n, words(d)) for n, d in sent[0].value], window) if len(sent) == 1 else None
+        find = finder()
         for batch in batches:
             datas = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            texts, hit = [words(d) for d in datas], {}
-            for b in sent:
-                automaton = single or Automaton([(n, words(d)) for n, d in b.value], window)
-                for k, text in enumerate(texts):
-                    for first, last, *_ in automaton.scan(text):
-                        hit.setdefault(k, np.zeros(len(text), bool))[first : last + 1] = True
+            texts = [words(d) for d in datas]
+            hit = {k: h[0] for k, h in enumerate(find(batch, texts)) if h is not None}
+            batch = batch.select(names)
             if not hit:
                 yield batch
                 continue
@@ -232,7 +280,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.2, w
                     out = out.set_column(names.index(name), name, pa.array(new, old.type))
             yield out
 
-    return docs.mapInArrow(look, schema)
+    return ready.mapInArrow(look, schema)
 
 
 def without(data: bytes, hit: np.ndarray) -> str:
