@@ -232,3 +232,46 @@ def test_flat_ids():
     assert size.tolist() == [0, 2, 1, 0] and ids.tolist() == [2, 3, 4]
     assert [len(x) for x in attention_lm.flat_ids([], 2)] == [0, 0]
     assert attention_lm.flat_ids([column.cast(pa.large_binary())], 2)[1].tolist() == [1, 2, 3, 4]
+
+
+def test_lm_scores_word_by_word(spark, edge_rows, monkeypatch):
+    """Scores of untrained weights against plain loops over words, ids and places."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(attention_lm, "train_round", lambda docs, model, *_: model)
+    rows = [r for r in edge_rows if len(r[1] or "") < 400]
+    got = attention_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), path("word_bpe_49k.json")).collect()
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+    lower = lambda t: (t or "").encode().lower().split()
+    trained = [lower(t) for i, t in rows if not attention_lm.is_held_out(i)]
+    count = Counter(w for ws in trained for w in ws)
+    ids_of = {w: library.encode(w.decode(), add_special_tokens=False).ids for _, t in rows for w in lower(t)}
+    total, found, seen, kinds = sum(count.values()) + len(trained), np.ones(library.get_vocab_size()), Counter(), Counter()
+    found[49407] += len(trained)
+    for w, n in count.items():
+        for k, x in enumerate(ids_of[w]):
+            found[x] += n
+            if k == 0:
+                seen[x] += n
+                kinds[x] += 1
+    m = attention_lm.Model.drawn(found / found.sum(), 49406)
+    want = []
+    for i, t in rows:
+        flat, first, score = [x for w in lower(t) for x in ids_of[w]] + [49407], 0, 0.0
+        p = []
+        for at in range(len(flat)):
+            w = max(0, -(-(at + 1 - attention_lm.WINDOW) // attention_lm.STRIDE)) * attention_lm.STRIDE
+            before = [flat[k - 1] if k else 49406 for k in range(w, at + 1)]
+            mix = m.forward(np.array([before + [0] * (attention_lm.WINDOW - len(before))]))["mix"][len(before) - 1]
+            p.append(float(mix @ m.table[flat[at]]))
+        for w in lower(t):
+            own, n = ids_of[w], count[w]
+            parts = p[first : first + len(own)]
+            a, b = (seen[own[0]], kinds[own[0]]) if own else (total, 0)
+            share, free = n / max(a + b, 1), b / max(a + b, 1) if a else 1.0
+            score += math.log10((parts[0] if own else 1.0) * (share + (free * math.prod(parts[1:]) if own else 0.0)))
+            first += len(own)
+        want.append((str(i), score + math.log10(p[-1])))
+    assert len(got) == len(want)
+    for (i, a), (j, b) in zip(sorted((str(r.doc_id), r.score) for r in got), sorted(want)):
+        assert i == j and abs(a - b) < 0.02 + 1e-4 * abs(b), (i, a, b)
