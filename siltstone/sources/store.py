@@ -96,6 +96,8 @@ class LogStore:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.compression, self.bloom_keys, self.files, self.far_bytes = compression, bloom_keys, files, far_bytes
         self.folder = Folder(spark, self.path)
+        #: The newest version that was seen.
+        self.loaded: Manifest | None = None
 
     def versions(self) -> list[int]:
         return sorted(int(n) for n in self.folder.names("manifest") if n.isdigit())
@@ -107,11 +109,17 @@ class LogStore:
         version = found[-1] if version is None else version
         if version not in found:
             raise InvalidState(f"no version {version}")
-        return Manifest.from_text(self.folder.read(f"manifest/{version}"))
+        if self.loaded is not None and self.loaded.version == version:  # a version never changes
+            return self.loaded
+        out = Manifest.from_text(self.folder.read(f"manifest/{version}"))
+        if version == found[-1]:
+            self.loaded = out
+        return out
 
     def publish(self, new: Manifest) -> Manifest:
         """Makes a version exist; another that came first is a conflict."""
         self.folder.write(f"manifest/{new.version}", new.to_text())
+        self.loaded = new
         return new
 
     def create(self, schema: Schema | None = None, ranges: Iterable[Range] = ALL_BUCKETS, name: str = "") -> Manifest:
