@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
@@ -178,3 +178,12 @@ class SchemaEdit:
         version = self.base.version + 1
         done = {n: replace(f, history=(*f.history, (version, tuple(self.changes[n])))) if n in self.changes else f for n, f in self.families.items()}
         return Schema(version, done)
+
+
+def schema_frame(spark: SparkSession, schema: Schema) -> DataFrame:
+    """A row a column: its family's id and options, its operator with what that was made with, and its notes."""
+    rows = [
+        (name, f.id, f.value_has_ttl, f.metadata, i, f.operators[i], f.made_with[i] if i < len(f.made_with) else None, f.notes[i] if i < len(f.notes) else None)
+        for name, f in schema.families.items() for i in range(f.width)
+    ]
+    return spark.createDataFrame(rows, "family string, id int, value_has_ttl boolean, family_metadata string, col int, operator string, made_with string, notes string")

@@ -19,12 +19,12 @@ from .functions.codec import big_endian, from_big_endian, list_payload, little_e
 from .functions.merge import Operators
 from .inspection import Inspector, samples_frame
 from .operators import ranges, resolve
-from .operators.schema import Schema
+from .operators.schema import Schema, schema_frame
 from .options import Config, ManualClock, ReadOptions, ScanOptions
 from .plans.scan import GlobalScanPlan, ShardSplit
 from .streaming.ingest import ingest
 from .streaming.queues import offers
-from .typed import ListType, TypedDatabase
+from .typed import ListType, TypedDatabase, TypedReader, TypedScanPlan, TypedScanSplit
 from .workspace import new_store
 
 TTL_CONFIG = Config(ttl_enabled=True, clock="manual", total_buckets=16)
@@ -491,3 +491,115 @@ def kv_governance(spark, sf_dir):
         except Conflict:
             out.append((name, lo, hi, "refused"))
     return spark.createDataFrame(out, "db_id string, lo int, hi int, state string")
+
+
+@query(WITH + "SELECT bucket, key, string_agg(event_type, '' ORDER BY seq) AS joined FROM live GROUP BY bucket, key")
+def kv_store_value_log(spark, sf_dir):
+    """Values of more than five bytes lie beside the log and come back only where their versions count."""
+    db = opened(spark, "far", Config(total_buckets=16, value_log_threshold=5), schema=Schema())
+    ops = stored_events(spark, sf_dir).drop("v").join(event_log(spark, sf_dir).select((F.col("seq") - 1).alias("seq"), F.encode("event_type", "UTF-8").alias("v")), "seq")
+    add(db, ops.where("seq < 4000"))
+    db.compact()
+    add(db, ops.where("seq >= 4000"))
+    return db.view().select("bucket", from_big_endian(F.col("key")).cast("bigint").alias("key"), F.decode("c0", "UTF-8").alias("joined"))
+
+
+@query(WITH + "SELECT *, TRUE AS few FROM view")
+def kv_store_maintained(spark, sf_dir):
+    """Twelve segments, of which the policy leaves few."""
+    db, ops = opened(spark, "maintained", Config(total_buckets=16, max_deltas=3, compaction_policy="min_overlap")), stored_events(spark, sf_dir)
+    for lo in range(0, 12):
+        add(db, ops.where(f"seq >= {lo * 800} and seq < {(lo + 1) * 800}"))
+    add(db, ops.where("seq >= 9600"))
+    db.maintain()
+    few = sum(not s.base for s in db.manifest().segments) <= 3
+    return shown(db.view(TYPED)).withColumn("few", F.lit(few))
+
+
+@query(WITH + "SELECT * FROM view WHERE bucket = 3")
+def kv_store_resume(spark, sf_dir):
+    """One bucket written call by call, resumed by another object, and read in blocks."""
+    db = opened(spark, "resume")
+    rows = stored_events(spark, sf_dir).where("bucket = 3").orderBy("seq").collect()  # one bucket, as calls would bring it
+    with db.writer() as w:
+        for r in rows:
+            w.delete(3, bytes(r.key), 0) if r.op == "delete" else getattr(w, r.op)(3, bytes(r.key), 0, bytes(r.v))
+    again = Database.resume(spark, db.path, db.config)
+    found = [(3, int.from_bytes(k, "big"), int.from_bytes(c[0], "little")) for block, _ in again.blocks(3, size=4) for k, c in block]
+    return spark.createDataFrame(found, "bucket int, key long, total long")
+
+
+@query("SELECT id, retained, rows FROM (VALUES (0, TRUE, 100), (3, FALSE, 400), (4, FALSE, 500)) t(id, retained, rows)")
+def kv_snapshot_lifecycle(spark, sf_dir):
+    """Five snapshots, of which one is retained, retention keeps three others, and one is expired by hand."""
+    db, ops = opened(spark, "lifecycle", Config(total_buckets=16, snapshot_retention=3)), stored_events(spark, sf_dir)
+    for i in range(5):
+        add(db, ops.where(f"seq >= {100 * i} and seq < {100 * i + 100}"))
+        db.snapshot()
+        if i == 0:
+            db.retain_snapshot(0)
+    db.expire_snapshot(0)
+    db.expire_snapshot(2)
+    db.vacuum()
+    out = [(s.id, s.retained, db.at_snapshot(s.id).log("default").count()) for s in db.list_snapshots()]
+    return spark.createDataFrame(out, "id int, retained boolean, rows int")
+
+
+@query("""SELECT * FROM (VALUES ('default', 0, TRUE, NULL, 0, 'bytes', NULL, '{"unit": "m"}'), ('default', 0, TRUE, NULL, 1, 'u64_counter', NULL, NULL), ('lists', 1, FALSE, NULL, 0, 'list', '{"cap": 3, "keep": "last"}', NULL),
+('tasks', 2, TRUE, '{"kind": "priority_queue"}', 0, 'bytes', NULL, NULL)) t(family, id, value_has_ttl, family_metadata, col, operator, made_with, notes)""")
+def kv_schema_registry(spark, sf_dir):
+    """The stored schema as a table, after commits that add, drop and describe columns and families."""
+    db = opened(spark, "registry")
+    db.commit(db.edit_schema().add_column(0, "u32_counter").add_column(2, "u64_counter"))
+    db.commit(db.edit_schema().delete_column(1).delete_column(0))
+    edit = db.edit_schema().ensure_family("lists", value_has_ttl=False).add_column(0, "list", family="lists", cap=3, keep="last")
+    db.commit(edit.add_column(0).set_column_metadata(0, {"unit": "m"}))
+    db.new_queue("tasks")
+    return schema_frame(spark, Database.resume(spark, db.path, db.config).current_schema())
+
+
+@query(WITH + "SELECT bucket, key, string_agg(props, '|' ORDER BY seq) AS items, CASE WHEN bucket < 6 OR (bucket = 6 AND key <= 40) THEN 'before' ELSE 'after' END AS part FROM live GROUP BY bucket, key")
+def kv_typed_scan_plan(spark, sf_dir):
+    """Lists read through a typed plan over a global snapshot, its one split parted and sent as JSON."""
+    db = TypedDatabase(SingleDatabase.open(spark, new_store(spark, "typed-plan"), Config(total_buckets=16), schema=Schema(0, {})))
+    db.edit().add_list_column(0, ListType()).commit()
+    add(db.raw, list_ops(spark, sf_dir))
+    snapshot = db.raw.global_snapshot()
+    halves = TypedScanPlan(snapshot).splits()[0].split_after(6, (40).to_bytes(8, "big"))
+    parts = [joined_lists(TypedScanSplit.from_json(h.to_json()).scanner(spark, db.raw.config)).withColumn("part", F.lit(n)) for n, h in zip(("before", "after"), halves)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(WITH + "SELECT bucket, key, string_agg(props, '|' ORDER BY seq) AS items FROM live WHERE bucket IN (2, 9) GROUP BY bucket, key")
+def kv_typed_reader(spark, sf_dir):
+    """Two buckets through a typed reader that follows CURRENT."""
+    db = TypedDatabase(SingleDatabase.open(spark, new_store(spark, "typed-reader"), Config(total_buckets=16), schema=Schema(0, {})))
+    db.edit().add_list_column(0, ListType()).commit()
+    ops = list_ops(spark, sf_dir)
+    add(db.raw, ops.where("seq < 100"))
+    db.raw.global_snapshot()
+    reader = TypedReader(db.raw.reader())
+    add(db.raw, ops.where("seq >= 100"))
+    db.raw.global_snapshot()
+    reader.refresh()
+    return joined_lists(reader.scan(2).unionByName(reader.scan(9)))
+
+
+@query("SELECT CAST(r_regionkey AS INT) AS bucket, r_name AS name, r_name || ',' || upper(r_name) || '!' AS list, CASE WHEN r_regionkey % 2 = 1 THEN r_name END AS plain FROM region")
+def kv_typed_batch(spark, sf_dir):
+    """Typed puts, merges and deletes of a batch, encoded lists, and a read of single rows."""
+    db = TypedDatabase.open(spark, new_store(spark, "typed-batch"), Config(total_buckets=16))
+    db.edit().add_list_column(1, ListType(2)).commit()
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name").collect()  # a fixed table of five rows
+    batch = db.new_batch()
+    for r in regions:
+        key = r.r_name.encode()
+        batch.put(r.r_regionkey, key, 0, key).put(r.r_regionkey, key, 1, [key])
+        if r.r_regionkey % 2 == 0:
+            batch.delete(r.r_regionkey, key, 0)
+    db.write(batch)
+    for r in regions:
+        db.merge_encoded_list(r.r_regionkey, r.r_name.encode(), 1, ListType(2).encode([r.r_name.upper().encode() + b"!", b"beyond the cap"]))
+    found = [(int(r.r_regionkey), r.r_name, *db.get(r.r_regionkey, r.r_name.encode())) for r in regions]
+    rows = [(b, n, b",".join(items).decode(), plain and plain.decode()) for b, n, plain, items in found]
+    return spark.createDataFrame(rows, "bucket int, name string, list string, plain string")
