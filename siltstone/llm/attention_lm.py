@@ -352,7 +352,7 @@ def train_round(docs: DataFrame, model: Model, turn: int, tokenizer: str, end_id
 
     def train(key: tuple, table: pa.Table) -> pa.Table:
         tokens = word_tokens(tokenizer, end_id)
-        tokens.cache.clear()  # what other tasks met: rare words for the most part
+        tokens.forget()  # what other tasks met: rare words for the most part
         dealt = sorted(zip(*unpacked(table)), key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
         trainers = -(-len(dealt) // TRAINER_DOCS)
         weights, experts = 0.0, 0.0
@@ -362,7 +362,7 @@ def train_round(docs: DataFrame, model: Model, turn: int, tokenizer: str, end_id
             ids = [np.frombuffer(e, f"<u{tokens.width}") for e in tokens.encode(texts)]
             own.train(np.concatenate(ids).astype(np.int64), np.array([len(i) for i in ids]), key[0].as_py() * DEALT + k)
             weights, experts = weights + own.weights.astype(np.float64), experts + own.experts
-        tokens.cache.clear()
+        tokens.forget()
         mean_of = [pa.array([(x / trainers).astype(np.float32).tobytes()], pa.binary()) for x in (weights, experts)]
         return pa.table([pa.array([key[0].as_py() // GROUP], pa.int64()), pa.array([trainers], pa.int64()), *mean_of], ["part", "n", "weights", "experts"])
 

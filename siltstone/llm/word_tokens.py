@@ -12,6 +12,7 @@ import re
 from array import array
 
 import numpy as np
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .common import hold_memory
 
@@ -19,18 +20,33 @@ from .common import hold_memory
 CACHE_PIECES, CACHE_CHARS = 800_000, 40
 #: Stands between words that are looked up together, so many at once.
 MARK, JOINED = "\x01", 200
+SIGNS = frozenset(".,;:!?")
 _RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LOADED: dict[tuple[str, int], "WordTokens"] = {}
 
 
 class Pieces(dict):
-    """Ids by piece; notes what it lacks."""
+    """Ids of pieces that were asked for twice; those asked for once wait apart, and what neither has is noted."""
 
     def __init__(self) -> None:
         self.missed: list[str] = []
+        self.once: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes | None:
+        found = self.once.get(key)
+        if found is None:
+            self.missed.append(key)
+        else:
+            self[key] = found
+        return found
 
-    def __missing__(self, key: str) -> None:
-        self.missed.append(key)
+    def add(self, new: dict[str, bytes]) -> None:
+        """Takes new pieces; beyond its share of CACHE_PIECES either part begins anew, first the rare ones."""
+        if 8 * (len(self.once) + len(new)) > 3 * CACHE_PIECES:
+            self.once.clear()
+        self.once.update((k, v) for k, v in new.items() if len(k) <= CACHE_CHARS)
+        if 8 * len(self) > 5 * CACHE_PIECES:
+            self.clear()
 
 
 class WordTokens:
@@ -38,16 +54,24 @@ class WordTokens:
 
     def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.library = Tokenizer.from_file(path)
         self.drops_space = not self.library.encode(" ", add_special_tokens=False).ids
         self.width, self.code = (2, "H") if self.library.get_vocab_size() <= 1 << 16 else (4, "I")
         self.end = self.packed([end_id])
         self.cache = Pieces()
         self.between = f" {MARK} " if self.drops_space else "\n"
+        self.signs = {s: self.packed(self.library.encode(s, add_special_tokens=False).ids) for s in SIGNS}
+        #: The same vocabulary for words of lower-case ASCII letters alone, which neither normalising nor splitting changes.
+        self.simple = Tokenizer.from_file(path)
+        if self.drops_space:
+            self.simple.normalizer = normalizers.Lowercase()
+            self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = self.library.encode(MARK if self.drops_space else "\n", add_special_tokens=False).ids[-1]
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.cache.once.clear()
+
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
@@ -69,12 +93,29 @@ class WordTokens:
         return key[1:] if key[0] == "\0" else " " + key
 
     def look_up(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces. A sign behind a word is a piece of its own in both vocabularies, so that a word of ASCII letters is
+        looked up without it (and, where case is dropped, in lower case), once and by the simpler split."""
+        plain, rest = {}, []
+        for k in new:
+            stem = k[:-1] if k[-1] in SIGNS else k
+            if stem.isascii() and stem.isalpha():
+                plain[k] = stem.lower() if self.drops_space else stem
+            else:
+                rest.append(k)
+        found = self.from_library(rest, self.library)
+        kept, once = self.cache.get, self.cache.once.get
+        stems = {s: kept(s) or once(s) for s in plain.values()}
+        stems.update(self.from_library([s for s, ids in stems.items() if ids is None], self.simple))
+        found.update((k, stems[s] + self.signs.get(k[-1], b"")) for k, s in plain.items())
+        return found
+
+    def from_library(self, new: list[str], library: Tokenizer) -> dict[str, bytes]:
         """Ids of pieces from the library, many in a call: a mark between them where white space only parts words, a line end otherwise."""
         apart = [k for k in new if (MARK in k if self.drops_space else k[0] == "\n")]
         found = {k: self.packed(self.library.encode(self.source(k), add_special_tokens=False).ids) for k in apart}
         plain = [k for k in new if k not in found]
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for keys, e in zip(groups, self.library.encode_batch_fast([self.between.join(map(self.source, g)) for g in groups], add_special_tokens=False)):
+        for keys, e in zip(groups, library.encode_batch_fast([self.between.join(map(self.source, g)) for g in groups], add_special_tokens=False)):
             found.update(zip(keys, self._parted(e.ids)))
         return found
 
@@ -105,12 +146,7 @@ class WordTokens:
             at += n
             out.append(b"".join(part) + self.end)
         missed.clear()
-        if len(cache) + len(new) > CACHE_PIECES:  # go on with the pieces of these texts, among them the common ones
-            used = set().union(*(keys for keys in found if keys is not None))
-            kept = [(k, cache[k]) for k in used if k not in new]
-            cache.clear()
-            cache.update(kept)
-        cache.update((k, v) for k, v in new.items() if len(k) <= CACHE_CHARS)
+        cache.add(new)
         return out
 
 
