@@ -8,10 +8,11 @@ Texts where that split is not certain (rare white space, special tokens) go whol
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .common import hold_memory
@@ -21,7 +22,10 @@ CACHE_PIECES, CACHE_CHARS = 800_000, 40
 #: Stands between words that are looked up together, so many at once.
 MARK, JOINED = "\x01", 200
 SIGNS = frozenset(".,;:!?")
-_RARE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: What makes the ids of a text other than those of its pieces: special tokens and rare white space; where white space is
+#: kept, also such at either end or next to other.
+DOUBTFUL = "<\\||[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+DOUBTFUL_SPACE = r"|[ \n][ \n]|\A[ \n]|[ \n]\z|\A\z"
 _LOADED: dict[tuple[str, int], "WordTokens"] = {}
 
 
@@ -47,6 +51,7 @@ class Pieces(dict):
         self.once.update((k, v) for k, v in new.items() if len(k) <= CACHE_CHARS)
         if 8 * len(self) > 5 * CACHE_PIECES:
             self.clear()
+            self[""] = b""
 
 
 class WordTokens:
@@ -58,7 +63,9 @@ class WordTokens:
         self.drops_space = not self.library.encode(" ", add_special_tokens=False).ids
         self.width, self.code = (2, "H") if self.library.get_vocab_size() <= 1 << 16 else (4, "I")
         self.end = self.packed([end_id])
+        self.doubtful = DOUBTFUL if self.drops_space else DOUBTFUL + DOUBTFUL_SPACE
         self.cache = Pieces()
+        self.cache[""] = b""  # at the ends of a text that begins or ends with white space
         self.between = f" {MARK} " if self.drops_space else "\n"
         self.signs = {s: self.packed(self.library.encode(s, add_special_tokens=False).ids) for s in SIGNS}
         #: The same vocabulary for words of lower-case ASCII letters alone, which neither normalising nor splitting changes.
@@ -71,21 +78,17 @@ class WordTokens:
     def forget(self) -> None:
         self.cache.clear()
         self.cache.once.clear()
+        self.cache[""] = b""
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Keys whose ids, joined, are those of the text; None if that is not certain."""
-        if "<|" in text or _RARE.search(text):
-            return None
+    def pieces(self, texts: pa.Array) -> pa.ListArray:
+        """Keys of each text whose ids, joined, are those of the text; the texts have none of what DOUBTFUL finds."""
         if self.drops_space:
-            return text.split()
-        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", " \n", "\n ")):
-            return None
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = "\0" + keys[0]  # the start of a text has no space before it
-        return keys
+            return pc.ascii_split_whitespace(texts)
+        marked = pc.binary_join_element_wise(*(pa.scalar(x, texts.type) if isinstance(x, str) else x for x in ("\0", texts, "")))  # the start of a text has no space before it
+        return pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
 
     def source(self, key: str) -> str:
         if self.drops_space or key[0] == "\n":
@@ -125,28 +128,30 @@ class WordTokens:
         return [data[a:z] for a, z in zip([0, *[m + w for m in marks]], [*marks, len(data)])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, with the end id."""
-        cache, missed = self.cache, self.cache.missed
-        get = cache.__getitem__
-        found, parts, counts = [self.pieces(t) for t in texts], [], []
-        for keys in found:
-            before = len(missed)
-            parts.append(list(map(get, keys)) if keys is not None else None)
-            counts.append(len(missed) - before)
-        new = self.look_up(list(dict.fromkeys(missed))) if missed else {}
-        out, at = [], 0
-        for text, part, n in zip(texts, parts, counts):
-            if part is None:
-                out.append(self.packed(self.library.encode(text, add_special_tokens=False).ids) + self.end)
-                continue
-            i = -1
-            for key in missed[at : at + n]:  # in the order of the gaps
-                i = part.index(None, i + 1)
-                part[i] = new[key]
-            at += n
-            out.append(b"".join(part) + self.end)
-        missed.clear()
-        cache.add(new)
+        """Ids of each text, with the end id: each distinct piece of all texts is looked up once, and their ids are gathered."""
+        column = pa.array(texts, pa.large_string())
+        doubtful = pc.match_substring_regex(column, self.doubtful).to_numpy(zero_copy_only=False)
+        out = [self.packed(self.library.encode(t, add_special_tokens=False).ids) + self.end if d else b"" for t, d in zip(texts, doubtful)]
+        sure = np.flatnonzero(~doubtful)
+        lists = self.pieces(column.take(pa.array(sure)))
+        coded = lists.flatten().dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
+        ids, missed = list(map(self.cache.__getitem__, keys)), self.cache.missed
+        if missed:
+            new, at = self.look_up(missed), -1
+            for key in missed:  # in the order of the gaps
+                at = ids.index(None, at + 1)
+                ids[at] = new[key]
+            missed.clear()
+            self.cache.add(new)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        pool, word = np.frombuffer(b"".join(ids), f"<u{self.width}"), coded.indices.to_numpy()
+        per = size[word]
+        ends = np.concatenate(([0], np.cumsum(per)))
+        flat = pool[np.repeat((np.cumsum(size) - size)[word] - ends[:-1], per) + np.arange(ends[-1])]
+        edges = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        for i, a, z in zip(sure.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
+            out[i] = flat[a:z].tobytes() + self.end
         return out
 
 
