@@ -18,7 +18,8 @@ once for each of its words, so that no vocabulary has to be broadcast.
 
 Defined cases: null or empty texts are the end alone; without training documents the base is that
 of N = V = 0 and the model stays as drawn; an id that repeats is scored each time; a null id counts as held
-in (no remainder of 2); an empty table gives an empty result; extra columns are ignored.
+in (no remainder of 2); an empty table gives an empty result; very long texts are many windows; equal texts score alike;
+extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ items are walked; any other word puts the automaton back to its root.
 
 Defined cases: null or empty texts have no words and hit nothing; items without words are never
 found; items with equal words are all found; rows that repeat an item_id count once; an empty
-benchmark or table gives no hits or an empty result; null item ids are left out; extra columns
-are ignored.
+benchmark or table gives no hits or an empty result; null item ids are left out; rows that repeat a
+doc_id, or have none, are judged each; very long texts are walked whole; extra columns are ignored.
 """
 
 from __future__ import annotations

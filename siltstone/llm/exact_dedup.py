@@ -9,7 +9,7 @@ digest are found in the global stage and raise an error; they never merge.
 
 Defined cases: a null text is the empty text; an empty table gives an empty result; rows that
 repeat a doc_id count as rows of the group, and all rows that carry the smallest doc_id are
-marked kept; a null doc_id never wins over a number; extra columns are ignored.
+marked kept; a null doc_id never wins over a number; very long texts are compared whole; extra columns are ignored.
 """
 
 from __future__ import annotations

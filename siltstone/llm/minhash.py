@@ -18,7 +18,8 @@
 Defined cases: null, empty or white-space texts have an empty set and link with nothing; fewer
 words than a shingle make one shingle of all words; an empty table gives an empty result; rows
 that repeat a doc_id are one document of that id (the union is not taken: each row is a set);
-extra columns are ignored.
+rows without a doc_id belong to the class of their set and link with nothing themselves; very long
+texts are hashed whole; of equal sets the smallest doc_id stands for all; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@
 
 Defined cases: a null text is the empty text and yields one piece with the end id alone; an empty
 table gives an empty result; rows that repeat a doc_id are packed each; equal lengths are ordered
-by doc_id and piece; extra columns are ignored.
+by doc_id and piece; very long texts become many pieces; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ Only nodes x dimensions x 1024 or nodes x 4096 sums reach the driver. All nodes
 Defined cases: a null text has no bytes (size 8) and the checksum of the empty text; null
 metadata takes coordinate 0; equal rows are ordered by the hash of their id and repeated ids fall
 on one side; an empty table gives an empty result; fewer rows than shards leave shards empty;
+very long texts count by their bytes alone;
 extra columns are ignored.
 """
 
