@@ -91,10 +91,12 @@ def evolved(log: DataFrame, schema: Schema, family: str) -> DataFrame:
 def stored_rows(
     log: DataFrame, schema: Schema, family: str, columns: list[int] | None = None, operators: Operators | None = None,
     now: int | None = None, at: int | None = None, cursors: DataFrame | None = None, raw: bool = True, fetch: Callable[[DataFrame], DataFrame] | None = None,
+    clock: int | None = None,
 ) -> DataFrame:
     """Resolved rows of one family of a stored log: KEYS, c0, c1, ... in the order asked for; bytes if ``raw``, typed otherwise.
 
     fetch: brings values that lie beside the log; only the versions that count are asked for theirs.
+    clock: the time by which operators go, such as lists whose elements expire even where rows do not; now if not given.
     """
     f, operators = schema.family(family), operators or Operators()
     wanted = list(range(f.width)) if columns is None else list(columns)
@@ -105,7 +107,7 @@ def stored_rows(
         own = own.withColumn("exp", F.lit(None).cast("bigint"))
     kept = live(evolved(visible(own, now, at, cursors), schema, family).where(F.col("col").isin(wanted)))
     kept = kept if fetch is None else fetch(kept)
-    found = {c: operators.resolve(f.operators[c], f.operator_metadata(c)).at(now) for c in wanted}
+    found = {c: operators.resolve(f.operators[c], f.operator_metadata(c)).at(now if clock is None else clock) for c in wanted}
     values = [op.value(F.when(F.col("col") == c, op.typed(F.col("v"))), F.col("seq")).alias(f"c{i}") for i, (c, op) in enumerate((c, found[c]) for c in wanted)]
     rows_ = kept.groupBy(*KEYS).agg(*values)
     there = F.lit(False)

@@ -11,7 +11,7 @@ import base64
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import ABOVE, NOW, ORACLES, OUT, QUERIES, TTL, WITH, event_log, query
+from .catalogue import ABOVE, NOW, OUT, TTL, WITH, event_log, query
 from .coordinator import Coordinator, Governance, Reader, SingleDatabase
 from .database import Database, Sample
 from .errors import Conflict
