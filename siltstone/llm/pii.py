@@ -33,7 +33,7 @@ from .common import id_text, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
-RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 # The patterns of the base, written so that failing starts are not tried again and again.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -307,15 +307,15 @@ def inspect(text: str) -> tuple[list[int], str, str, int]:
 
 
 def find_private(docs: DataFrame) -> DataFrame:
-    """A row a document: base counts and digest, all spans (code points, end exclusive), number added."""
+    """A row a document: base counts and digest, all spans (code points, end exclusive), how many were added, and how many there are."""
     prepare(docs.sparkSession)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [inspect(t) for t in batch.column(1).to_pylist()]
             counts = {f"n_{kind}": pa.array([r[0][k] for r in rows], pa.int64()) for k, kind in enumerate(KINDS)}
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0), **counts, "base_sha256": pa.array([r[1] for r in rows], pa.string()), "spans": pa.array([r[2] for r in rows], pa.string()), "n_added": pa.array([r[3] for r in rows], pa.int64())}
-            )
+            added, all_ = (pa.array([f(r) for r in rows], pa.int64()) for f in (lambda r: r[3], lambda r: sum(r[0]) + r[3]))
+            digests, spans = (pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **counts, "base_sha256": digests, "spans": spans, "n_added": added, "n_spans": all_})
 
     return id_text(docs).mapInArrow(look, RESULT)

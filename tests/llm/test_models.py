@@ -110,6 +110,7 @@ def test_plain_talk_is_left_alone(text):
 def test_private_rows(edge_docs, no_docs, edge_rows):
     got = pii.find_private(edge_docs).collect()
     assert len(got) == len(edge_rows) and all(r.spans == "" for r in got if r.doc_id in (1, 2, 3))
+    assert all(r.n_spans == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added == len(r.spans.split(",")) * (r.spans != "") for r in got)
     assert pii.find_private(no_docs).count() == 0
 
 
