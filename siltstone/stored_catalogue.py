@@ -7,6 +7,7 @@ numbers', values are 64-bit little-endian counters. Each query makes the store t
 from __future__ import annotations
 
 import base64
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -460,7 +461,7 @@ def kv_inspect_pages(spark, sf_dir):
     db.global_snapshot()
     inspector, after, out = Inspector(db.reader()), None, []
     raw = lambda x: base64.b64decode(x["b64"])
-    for page in range(1000):
+    for page in count():
         got = inspector.scan(5, start_after=after, limit=3)
         out += [(page, int.from_bytes(raw(i["key"]), "big"), int.from_bytes(raw(i["columns"][0]), "little"), got["has_more"]) for i in got["items"]]
         if not got["has_more"]:
@@ -520,7 +521,7 @@ def kv_store_maintained(spark, sf_dir):
 def kv_store_resume(spark, sf_dir):
     """One bucket written call by call, resumed by another object, and read in blocks."""
     db = opened(spark, "resume")
-    rows = stored_events(spark, sf_dir).where("bucket = 3").orderBy("seq").collect()  # one bucket, as calls would bring it
+    rows = stored_events(spark, sf_dir).where("bucket = 3").orderBy("seq").toLocalIterator()  # one bucket, call by call
     with db.writer() as w:
         for r in rows:
             w.delete(3, bytes(r.key), 0) if r.op == "delete" else getattr(w, r.op)(3, bytes(r.key), 0, bytes(r.v))
