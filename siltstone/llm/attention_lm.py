@@ -44,7 +44,12 @@ ROUNDS, TRAINER_DOCS, DEALT, GROUP = 2, 512, 8, 16
 #: Logits are held within this, so that their exponentials stay finite.
 CLIP = np.float32(30)
 ONES = np.ones(max(WINDOW, EXPERTS), np.float32)
+#: Columns of a projection to queries, keys and values, with the scale of attention in the queries.
+SCALED = np.where(np.arange(3 * WIDTH) < WIDTH, np.float32(WIDTH**-0.5), np.float32(1))
+ALLOWED = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 BATCH, RATE, LEAN = 256, 0.01, 200.0
+#: Windows of a batch that are taken through the model at once, so that what is between stays in a processor's cache.
+CHUNK = 192
 #: Stands for the end among words, which are bytes.
 END = ""
 #: Words of a task that are counted before they are handed on.
@@ -95,13 +100,18 @@ def word_ids(counts: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer, end_id)
         for batch in batches:
-            words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
+            words = [w.decode("utf-8", "replace") for w in values(batch.column(0))]
             found = tokens.look_up(words)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([found[w] for w in words], pa.binary())], ["word", "n", "ids"])
 
     return counts.select("word", "n").mapInArrow(encode, "word binary, n long, ids binary")
 
 
+def values(column: pa.Array) -> list:
+    """The values of a column of bytes, much faster than by to_pylist()."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def flat_ids(chunks: list[pa.Array], width: int) -> tuple[np.ndarray, np.ndarray]:
     """How many ids each row has, and all ids, of a column of ids as bytes, read from its buffers."""
     sizes, parts = [np.zeros(0, np.int64)], []
@@ -138,9 +148,9 @@ def add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """into[at] += rows, with repeats summed."""
     if len(at):
         order = np.argsort(at.astype(np.uint16) if at.max() < 1 << 16 else at, kind="stable")  # 16 bits are sorted by radix
-        places = at[order]
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(places)) + 1))
-        into[places[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+        places = at.take(order)
+        starts = np.concatenate(([0], np.flatnonzero(places[1:] != places[:-1]) + 1))
+        into[places[starts]] += np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
 
 
 class Model:
@@ -155,13 +165,12 @@ class Model:
             size = int(np.prod(shape))
             setattr(self, name, self.weights[at : at + size].reshape(shape))
             at += size
-        self.mask = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
+        self.lean = LEAN * common[:, None]
         self.refresh()
 
     def refresh(self) -> None:
         """Each expert: its counts, leaning on the common distribution."""
-        n = self.experts.sum(axis=0)
-        self.table = ((self.experts + LEAN * self.common[:, None]) / (n + LEAN)).astype(np.float32)
+        self.table = np.multiply(self.experts + self.lean, 1 / (self.experts.sum(axis=0) + LEAN), dtype=np.float64).astype(np.float32)
 
     @classmethod
     def drawn(cls, common: np.ndarray, start: int) -> Model:
@@ -170,20 +179,23 @@ class Model:
         lean = common[:, None] * np.exp(draw.normal(0, 1.5, (len(common), EXPERTS)))
         return cls(np.concatenate([p.ravel() for p in parts]), lean / lean.sum(axis=0) * 20 * LEAN, common, start)
 
-    def forward(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
-        """inputs: (windows, WINDOW) ids before each place."""
-        b = len(inputs)
+    def forward(self, inputs: np.ndarray, begin: int = 0) -> dict[str, np.ndarray]:
+        """inputs: (windows, WINDOW) ids before each place. Places before ``begin`` only give context: they are keys and values, and have no mixture."""
+        b, asks = len(inputs), WINDOW - begin
         code = inputs % INPUTS
-        h = self.embed[code] + self.place
-        q, k, v = np.split((h.reshape(-1, WIDTH) @ self.qkv).reshape(b, WINDOW, 3 * WIDTH), 3, axis=2)
+        h = self.embed.take(code, axis=0)
+        h += self.place
+        scaled = self.qkv * SCALED
+        qkv = (h.reshape(-1, WIDTH) @ scaled).reshape(b, WINDOW, 3 * WIDTH)
+        q, k, v = qkv[:, begin:, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
         a = q @ k.transpose(0, 2, 1)
-        a *= WIDTH**-0.5
         np.minimum(a, CLIP, out=a)
-        a += self.mask
         np.exp(a, out=a)
-        a /= (a.reshape(-1, WINDOW) @ ONES[:WINDOW]).reshape(b, WINDOW, 1)
+        a *= ALLOWED[begin:]
+        a /= (a.reshape(-1, WINDOW) @ ONES[:WINDOW]).reshape(b, asks, 1)
         o = (a @ v).reshape(-1, WIDTH)
-        h2 = h.reshape(-1, WIDTH) + o @ self.back
+        h2 = o @ self.back
+        h2.reshape(b, asks, WIDTH)[:] += h[:, begin:]
         u = h2 @ self.up
         u += self.up0
         np.maximum(u, 0, out=u)
@@ -192,7 +204,7 @@ class Model:
         np.clip(z, -CLIP, CLIP, out=z)
         np.exp(z, out=z)
         z /= (z @ ONES[:EXPERTS])[:, None]
-        return {"code": code, "h": h, "q": q, "k": k, "v": v, "a": a, "o": o, "h2": h2, "u": u, "mix": z}
+        return {"code": code, "h": h, "scaled": scaled, "q": q, "k": k, "v": v, "a": a, "o": o, "h2": h2, "u": u, "mix": z}
 
     def windows(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(inputs, targets, scored) of texts that lie one after another in ids; targets are -1 beyond a text."""
@@ -214,11 +226,11 @@ class Model:
         so that these are taken once for each code; places that only give context are keys alone.
         """
         inputs, targets, scored = self.windows(ids, lengths)
-        scaled = self.qkv * np.where(np.arange(3 * WIDTH) < WIDTH, np.float32(WIDTH**-0.5), np.float32(1))
+        scaled = self.qkv * SCALED
         asks = np.concatenate((scaled[:, :WIDTH], self.up), axis=1)
         tables = [(self.embed @ m, self.place @ m) for m in (asks, scaled[:, WIDTH:])]
         tables[0][1][:, WIDTH:] += self.up0
-        back_up, allowed = self.back @ self.up, np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        back_up = self.back @ self.up
         found = np.ones(targets.shape)
         codes, targets = inputs % INPUTS, np.maximum(targets, 0)
         firsts = scored[:, 0]
@@ -233,7 +245,7 @@ class Model:
                 a = ask[:, :, :WIDTH] @ give[:, :, :WIDTH].transpose(0, 2, 1)
                 np.minimum(a, CLIP, out=a)
                 np.exp(a, out=a)
-                a *= allowed[begin:]
+                a *= ALLOWED[begin:]
                 o = (a @ give[:, :, WIDTH:]).reshape(-1, WIDTH)
                 o /= (a.reshape(-1, WINDOW) @ ONES[:WINDOW])[:, None]
                 u = o @ back_up
@@ -259,15 +271,25 @@ class Model:
             views[name] = slopes[at : at + size].reshape(shape)
             at += size
         first, second, spare, step = np.zeros_like(slopes), np.zeros_like(slopes), np.empty_like(slopes), 0
-        fresh = np.zeros_like(self.experts)
+        codes, goals, firsts = inputs.astype(np.int32), np.maximum(targets, 0).astype(np.int32), scored[:, 0]
+        fresh, met = np.zeros_like(self.experts), []
         for n, at in enumerate(range(0, len(order), BATCH)):
             rows = order[at : at + BATCH]
-            f = self.forward(inputs[rows])
-            t, s = targets[rows].ravel(), scored[rows].ravel().astype(np.float32)
-            joint = f["mix"] * self.table[np.maximum(t, 0)]
-            share = joint * (s / (joint @ ONES[:EXPERTS]))[:, None]
-            add_rows(fresh, t[s > 0], share[s > 0])
-            self._slopes(f, (f["mix"] * s[:, None] - share) / max(1.0, s.sum()), views)
+            rows = rows[np.argsort(~firsts[rows], kind="stable")]
+            total = max(1.0, float(scored[rows].sum()))
+            slopes[:], inner = 0, []
+            for part, begin in self._chunks(rows, int(firsts[rows].sum())):
+                f = self.forward(codes[part], begin)
+                t, s = goals[part, begin:].ravel(), scored[part, begin:].ravel().astype(np.float32)
+                share = f["mix"] * self.table.take(t, axis=0)
+                share *= (s / (share @ ONES[:EXPERTS]))[:, None]
+                met.append((t, share))  # a place that is not scored has a share of 0
+                dz = f["mix"]
+                dz *= s[:, None]
+                dz -= share
+                dz /= np.float32(total)
+                inner.append((f["code"].ravel(), self._inner_slopes(f, dz, views)))
+            add_rows(views["embed"], *map(np.concatenate, zip(*inner)))
             step += 1
             first *= 0.9
             np.multiply(slopes, 0.1, out=spare)
@@ -281,32 +303,59 @@ class Model:
             np.divide(first, spare, out=spare)
             spare *= RATE * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
             self.weights -= spare
+            if n % 8 == 7 or at + BATCH >= len(order):
+                add_rows(fresh, *map(np.concatenate, zip(*met)))
+                met.clear()
             if n % 64 == 63:
-                self.experts = 0.7 * self.experts + fresh
+                self.experts *= 0.7
+                self.experts += fresh
                 fresh[:] = 0
                 self.refresh()
-        self.experts = self.experts + fresh
+        self.experts += fresh
         self.refresh()
 
+    @staticmethod
+    def _chunks(rows: np.ndarray, firsts: int) -> list[tuple[np.ndarray, int]]:
+        """Parts of a batch, (windows, first place that is scored in any), given how many texts begin in its first windows.
+
+        Most windows begin inside a text, where places before WINDOW - STRIDE give context and are not scored.
+        """
+        head = max(firsts, CHUNK // 3) if firsts else 0
+        return [(rows[x : min(x + CHUNK, head)], 0) for x in range(0, min(head, len(rows)), CHUNK)] + [(rows[x : x + CHUNK], WINDOW - STRIDE) for x in range(head, len(rows), CHUNK)]
+
     def _slopes(self, f: dict, dz: np.ndarray, g: dict) -> None:
-        b = len(f["code"])
-        g["out"][:], g["out0"][:] = f["u"].T @ dz, dz.sum(axis=0)
-        du = (dz @ self.out.T) * (f["u"] > 0)
-        g["up"][:], g["up0"][:] = f["h2"].T @ du, du.sum(axis=0)
+        """Adds the slopes of weights to g, given those of the mixture's logits (by place, from forward()'s ``begin`` on)."""
+        add_rows(g["embed"], f["code"].ravel(), self._inner_slopes(f, dz, g))
+
+    def _inner_slopes(self, f: dict, dz: np.ndarray, g: dict) -> np.ndarray:
+        """The same but for the embedding, whose slopes are returned, a row for each place of f["code"]."""
+        b, asks = f["q"].shape[:2]
+        places = np.ones(len(dz), np.float32)
+        g["out"] += f["u"].T @ dz
+        g["out0"] += places @ dz
+        du = dz @ self.out.T
+        du *= f["u"] > 0
+        g["up"] += f["h2"].T @ du
+        g["up0"] += places @ du
         dh2 = du @ self.up.T
-        g["back"][:] = f["o"].T @ dh2
-        do = (dh2 @ self.back.T).reshape(b, WINDOW, WIDTH)
+        g["back"] += f["o"].T @ dh2
+        do = dh2 @ self.back.T
+        inner = np.einsum("ij,ij->i", do, f["o"]).reshape(b, asks, 1)  # the mean slope of a place's keys, as they weigh
+        do = do.reshape(b, asks, WIDTH)
         da = do @ f["v"].transpose(0, 2, 1)
-        dv = f["a"].transpose(0, 2, 1) @ do
-        da -= np.einsum("bij,bij->bi", da, f["a"])[:, :, None]
+        da -= inner
         da *= f["a"]
-        da *= WIDTH**-0.5
-        dqkv = np.concatenate((da @ f["k"], da.transpose(0, 2, 1) @ f["q"], dv), axis=2).reshape(-1, 3 * WIDTH)
-        g["qkv"][:] = f["h"].reshape(-1, WIDTH).T @ dqkv
-        dh = dh2 + dqkv @ self.qkv.T
-        g["place"][:] = dh.reshape(b, WINDOW, WIDTH).sum(axis=0)
-        g["embed"][:] = 0
-        add_rows(g["embed"], f["code"].ravel(), dh)
+        dqkv, begin = np.empty((b, WINDOW, 3 * WIDTH), np.float32), WINDOW - asks
+        dqkv[:, :begin, :WIDTH] = 0
+        np.matmul(da, f["k"], out=dqkv[:, begin:, :WIDTH])
+        np.matmul(da.transpose(0, 2, 1), f["q"], out=dqkv[:, :, WIDTH : 2 * WIDTH])
+        np.matmul(f["a"].transpose(0, 2, 1), do, out=dqkv[:, :, 2 * WIDTH :])
+        dqkv = dqkv.reshape(-1, 3 * WIDTH)
+        g["qkv"] += (f["h"].reshape(-1, WIDTH).T @ dqkv) * SCALED
+        dh = dqkv @ f["scaled"].T
+        dh.reshape(b, WINDOW, WIDTH)[:, begin:] += dh2.reshape(b, asks, WIDTH)
+        g["place"] += (np.ones(b, np.float32) @ dh.reshape(b, -1)).reshape(WINDOW, WIDTH)
+        return dh
 
 
 def packed(rows: DataFrame, key: str) -> DataFrame:
@@ -425,7 +474,7 @@ def score_texts(docs: DataFrame, tokenizer: str, end_id: int = 49407, start_id:
     def score(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
         *state, firsts = sent.value
         model = Model(*state)
-        order = [*words["word"].to_pylist(), END]
+        order = [*chain.from_iterable(map(values, words["word"].chunks)), END]
         place = dict(zip(order, range(len(order))))
         n = np.append(words["n"].to_numpy(), ends).astype(np.int64)
         size, pool = (np.append(x, last) for x, last in zip(flat_ids(words["ids"].chunks, width), (1, end_id)))

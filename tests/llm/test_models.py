@@ -198,6 +198,49 @@ def test_lm_gradients():
         assert abs((a - b) / (2 * e) - g[k]) < 0.05 * abs(g[k]) + 0.02, name
 
 
+def test_lm_training_passes_over_places_that_only_give_context(monkeypatch):
+    """Training takes scored places alone through the model; weights and counts are those of whole windows, step by step."""
+    monkeypatch.setattr(attention_lm, "BATCH", 8)
+    monkeypatch.setattr(attention_lm, "CHUNK", 6)
+    skip = attention_lm.WINDOW - attention_lm.STRIDE
+    draw = np.random.default_rng(6)
+    common = draw.random(40)
+    lengths = np.array([1, 3, 16, 17, 40, 300, 2000, 5000])
+    ids = draw.integers(0, 40, lengths.sum())
+    m, plain = (attention_lm.Model.drawn(common / common.sum(), 0) for _ in range(2))
+    inputs, targets, scored = m.windows(ids, lengths)
+    assert np.allclose(m.forward(inputs, skip)["mix"].reshape(len(inputs), attention_lm.STRIDE, -1), m.forward(inputs)["mix"].reshape(len(inputs), attention_lm.WINDOW, -1)[:, skip:], atol=1e-6)
+    seen, forward = [], m.forward
+    monkeypatch.setattr(m, "forward", lambda codes, begin=0: seen.append((len(codes), begin)) or forward(codes, begin))
+    m.train(ids, lengths, 3)
+    assert sum(n for n, _ in seen) == len(inputs) > 64 * 8
+    assert sum(n * (attention_lm.WINDOW - begin) for n, begin in seen) < 0.8 * inputs.size
+    order, weights = np.random.default_rng(3).permutation(len(inputs)), plain.weights
+    first, second, fresh = np.zeros(len(weights)), np.zeros(len(weights)), 0
+    for step, at in enumerate(range(0, len(order), 8), 1):
+        rows = order[at : at + 8]
+        f = plain.forward(inputs[rows])
+        t, s = np.maximum(targets[rows].ravel(), 0), scored[rows].ravel()[:, None]
+        joint = f["mix"] * plain.table[t]
+        share = joint / joint.sum(axis=1, keepdims=True) * s
+        slopes = {k: np.zeros(x, np.float32) for k, x in m.SHAPES.items()}
+        plain._slopes(f, ((f["mix"] * s - share) / s.sum()).astype(np.float32), slopes)
+        g = np.concatenate([x.ravel() for x in slopes.values()]).astype(float)
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        weights -= (attention_lm.RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        each = np.zeros_like(plain.experts)
+        np.add.at(each, t, share)
+        fresh = fresh + each
+        if step % 64 == 0:
+            plain.experts, fresh = 0.7 * plain.experts + fresh, 0
+            plain.refresh()
+    plain.experts = plain.experts + fresh
+    plain.refresh()
+    assert np.allclose(m.experts, plain.experts, rtol=2e-2, atol=0.5)
+    a, b = (x.log_probabilities(ids, lengths) for x in (m, plain))
+    assert np.abs(a - b).max() < 0.02 and abs((a - b).sum()) < 1e-4 * abs(b.sum())
+
+
 def test_lm_mixture_of_words_and_ids():
     got = attention_lm.mixed(np.array([-1.0, -2.0, -0.5]), np.array([2, 1]), np.array([0.1, 0.0]), np.array([0.3, 0.4]), np.array([1, 1]))
     assert np.allclose(got, [-1 + math.log10(0.1 + 0.3 * 1e-2), -0.5 + math.log10(0.4)])
