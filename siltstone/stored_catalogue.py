@@ -382,15 +382,16 @@ def kv_store_families(spark, sf_dir):
 
 @query(WITH + "SELECT bucket, key, max(v) AS highest FROM live GROUP BY bucket, key")
 def kv_store_custom_operator(spark, sf_dir):
-    """A merge operator of the caller's, found by its id in the stored schema: the highest value."""
-    number = lambda b: int.from_bytes(b, "little")
+    """A merge operator of the caller's, found by its id in the stored schema: the highest value, signed. Nothing, as there
+    is before the first operand and in place of a null value, is below every number, 0 included."""
+    number = lambda b: (bool(b), int.from_bytes(b, "little", signed=True))
     own = Operators().register_merge("highest", lambda have, operand, now: max(have, operand, key=number))
     db = opened(spark, "custom", schema=Schema().edit().set_operator(0, "highest").commit(), operators=own)
-    add(db, stored_events(spark, sf_dir))
+    add(db, stored_events(spark, sf_dir).withColumn("v", F.coalesce("v", F.lit(b""))))
     db.compact()
     h = F.hex("c0")
     turned = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)])
-    return db.view().select("bucket", from_big_endian(F.col("key")).cast("bigint").alias("key"), F.conv(turned, 16, 10).cast("bigint").alias("highest"))
+    return db.view().select("bucket", from_big_endian(F.col("key")).cast("bigint").alias("key"), F.conv(turned, 16, -10).cast("bigint").alias("highest"))
 
 
 @query("SELECT CAST(n_regionkey AS INT) AS bucket, n_name AS name, CASE WHEN n_nationkey % 3 <> 0 THEN n_name || '+' || n_name END AS twice FROM nation")
