@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import time
+from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import functions as F
@@ -47,6 +49,20 @@ def successor(prefix: bytes) -> bytes | None:
     return short[:-1] + bytes([short[-1] + 1]) if short else None
 
 
+def _page(rows: list[tuple[bytes, list]], more: bool) -> dict[str, Any]:
+    items = [{"key": shown(k), "columns": [shown(c) for c in columns]} for k, columns in rows]
+    return {"items": items, "has_more": more, "next_start_after": shown(rows[-1][0]) if more else None}
+
+
+def _cut(rows: Iterator[tuple[bytes, list]], limit: int) -> Iterator[dict[str, Any]]:
+    """Rows as pages; two pages are held at a time."""
+    page = list(islice(rows, limit))
+    while following := list(islice(rows, limit)):
+        yield _page(page, True)
+        page = following
+    yield _page(page, False)
+
+
 class Inspector:
     """Questions to a reader."""
 
@@ -69,14 +85,24 @@ class Inspector:
 
     def scan(self, bucket: int, prefix: bytes = b"", start_after: bytes | None = None, limit: int | None = None, family: str = "default") -> dict[str, Any]:
         """A page of a bucket's rows by prefix; one row more is read to know whether there are more."""
+        limit = self._limit(limit)
+        rows = list(self._rows(bucket, prefix, start_after, ScanOptions(family=family, max_rows=limit + 1)))
+        return _page(rows[:limit], len(rows) > limit)
+
+    def pages(self, bucket: int, prefix: bytes = b"", start_after: bytes | None = None, limit: int | None = None, family: str = "default") -> Iterator[dict[str, Any]]:
+        """All pages from a key on, one at least, as ``scan`` gives them one by one; but all are cut from one read of one snapshot."""
+        limit = self._limit(limit)
+        return _cut(self._rows(bucket, prefix, start_after, ScanOptions(family=family)), limit)
+
+    def _limit(self, limit: int | None) -> int:
         limit = self.default_limit if limit is None else limit
         if not 1 <= limit <= self.max_limit:
             raise InvalidInput(f"a page holds 1 to {self.max_limit} rows")
+        return limit
+
+    def _rows(self, bucket: int, prefix: bytes, start_after: bytes | None, options: ScanOptions) -> Iterator[tuple[bytes, list]]:
         start = max(prefix, start_after + b"\0") if start_after is not None else prefix
-        rows = list(self.reader.rows(bucket, start, successor(prefix), ScanOptions(family=family, max_rows=limit + 1)))
-        more, page = len(rows) > limit, rows[:limit]
-        items = [{"key": shown(k), "columns": [shown(c) for c in columns]} for k, columns in page]
-        return {"items": items, "has_more": more, "next_start_after": shown(page[-1][0]) if more else None}
+        return self.reader.rows(bucket, start, successor(prefix), options)
 
     def lookup(self, keys: list[tuple[int, str]], encoding: str = "utf8", family: str = "default") -> list[dict[str, Any]]:
         """Rows by bucket and key, in the order asked for; those that are not there have no columns."""

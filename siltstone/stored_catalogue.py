@@ -7,7 +7,6 @@ numbers', values are 64-bit little-endian counters. Each query makes the store t
 from __future__ import annotations
 
 import base64
-from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -460,14 +459,9 @@ def kv_inspect_pages(spark, sf_dir):
     db = SingleDatabase.open(spark, new_store(spark, "inspect"), Config(total_buckets=16), schema=counters())
     add(db, stored_events(spark, sf_dir))
     db.global_snapshot()
-    inspector, after, out = Inspector(db.reader()), None, []
-    raw = lambda x: base64.b64decode(x["b64"])
-    for page in count():
-        got = inspector.scan(5, start_after=after, limit=3)
+    raw, out = lambda x: base64.b64decode(x["b64"]), []
+    for page, got in enumerate(Inspector(db.reader()).pages(5, limit=3)):
         out += [(page, int.from_bytes(raw(i["key"]), "big"), int.from_bytes(raw(i["columns"][0]), "little"), got["has_more"]) for i in got["items"]]
-        if not got["has_more"]:
-            break
-        after = raw(got["next_start_after"])
     return spark.createDataFrame(out, "page int, key long, total long, has_more boolean")
 
 

@@ -1,8 +1,16 @@
 """Queries over stores on small tables of events, with values and sizes that the test tables lack."""
 
+import base64
+
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone import catalogue, stored_catalogue  # noqa: F401  the second adds its queries to the first
+from siltstone.coordinator import SingleDatabase
+from siltstone.database import Readable
+from siltstone.errors import InvalidInput
+from siltstone.inspection import Inspector
+from siltstone.options import Config
 
 
 def events(spark, path, *rows):
@@ -17,3 +25,28 @@ def test_the_highest_value_may_be_zero_negative_or_null(spark, tmp_path):
     found = catalogue.QUERIES["kv_store_custom_operator"](spark, events(spark, tmp_path, *rows)).collect()
     assert sorted((r.bucket, r.key, r.highest) for r in found if r.key != 21) == [(1, 17, 0), (2, 18, 0), (3, 19, -200), (4, 20, 100), (6, 22, -500)]
     assert [r.highest for r in found if r.key == 21] == [None]
+
+
+def test_pages_of_a_bucket_are_cut_from_one_read(spark, tmp_path, monkeypatch):
+    db = SingleDatabase.open(spark, f"file://{tmp_path}/db", Config(total_buckets=2))
+    for i in range(9):
+        db.put(0, bytes([1, i]), 0, bytes([i]))
+    db.put(0, b"\2", 0, b"")
+    db.global_snapshot()
+    look = Inspector(db.reader())
+
+    def one_by_one(**more):
+        out = [look.scan(0, **more)]
+        while out[-1]["has_more"]:
+            out.append(look.scan(0, **more | {"start_after": base64.b64decode(out[-1]["next_start_after"]["b64"])}))
+        return out
+
+    for more in ({"limit": 4}, {"limit": 3, "prefix": b"\1"}, {"limit": 2, "prefix": b"\1", "start_after": b"\1\3"}, {"prefix": b"none"}):
+        assert list(look.pages(0, **more)) == one_by_one(**more)
+    with pytest.raises(InvalidInput):
+        look.pages(0, limit=0)
+    reads, rows = [], Readable.rows
+    monkeypatch.setattr(Readable, "rows", lambda *a, **b: reads.append(a) or rows(*a, **b))
+    made = events(spark, tmp_path, *[(16 * i + 5, "signup", float(i)) for i in range(10)])
+    found = catalogue.QUERIES["kv_inspect_pages"](spark, made).collect()
+    assert len(reads) == 1 and [(r.page, r.key, r.total, r.has_more) for r in found] == [(i // 3, 16 * i + 5, 100 * i, i < 9) for i in range(10)]
